@@ -26,6 +26,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import ids_and_texts, remainder, slices, text_buffer
 
@@ -156,9 +157,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return ids_and_texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
-def add_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """docs with a score column; every other column passes as it is. A column of that name gives way."""
-    docs = docs.drop(column)
+def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """docs without the rows whose score is below threshold; all columns stay. One pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.scorer()
@@ -166,11 +166,9 @@ def add_score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame
             data, at = text_buffer(part.column("text"))
             raw = memoryview(np.ascontiguousarray(data)).toreadonly()
             scores = own.probabilities([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], [*part.schema.names, column])
+            yield part.filter(pa.array(scores >= threshold))
 
-    from pyspark.sql.types import DoubleType, StructType
-
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(column, DoubleType()))
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
