@@ -7,12 +7,13 @@ texts and writes shards of its own binary format:
     doc_id and number of ids of each document             int64, uint32 arrays
     index: byte offset of each block                      uint32 array
     blocks of up to BLOCK ids: minimum uint32, width uint8, number of ids
-    uint16, number of exceptions uint16, packed low bits, exception
-    positions uint16, exception high bits uint32
+    uint16, number of exceptions uint16, packed low bits (lanes of 64 ids),
+    exception positions uint16, exception high bits uint32
 
-In a block the minimum is subtracted; the width is the number of bits that the
-KEEP percentile of the differences needs; what is wider keeps its low bits in
-place and its high bits in the exception list. Shards are rows (part, shard,
+In a block the minimum is subtracted; the width is the number of bits that a
+percentile of the differences needs, of those in KEEP the one that takes the
+fewest bytes; what is wider keeps its low bits in place and its high bits in the
+exception list. Shards are rows (part, shard,
 payload) of a Parquet table, so that any store that Spark writes to can hold
 them; `export` copies them to plain files on a mounted folder.
 
@@ -24,7 +25,10 @@ Columns besides doc_id and text are ignored; an empty table has no shard.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
+from array import array
+from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,59 +41,111 @@ from .bpe import KEPT_LENGTH, KEPT_UNITS
 from .common import ids_and_texts, scratch, slices
 
 MAGIC = 0x31525046
-BLOCK = 1024
-KEEP = 90  # percentile of differences that the packed width holds
+BLOCK = 4096
+KEEP = (90, 95, 99, 100)  # percentiles of differences that the packed width may hold
 SHARD_IDS = 2_000_000
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
-def pack(values: np.ndarray, width: int) -> bytes:
-    """The low width bits of each value, least significant first."""
-    if not width or not len(values):
-        return b""
-    if width % 8 == 0 and width in (8, 16, 32):
-        return values.astype(f"<u{width // 8}").tobytes()
-    bits = (values[:, None] >> np.arange(width, dtype=np.uint32)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
-
-
-def unpack(data: bytes, n: int, width: int) -> np.ndarray:
-    if not width or not n:
-        return np.zeros(n, np.uint32)
+def pack(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of 64*k values as rows of width*k 64-bit words: lanes of 64 values, each value's low width bits in turn."""
+    rows, n = values.shape
+    if width in (8, 16, 32):  # the same layout, as the machine has it
+        return values.astype(f"<u{width // 8}").view("<u8")
+    out = np.zeros((width, rows * n // 64), np.uint64)
+    lanes = np.ascontiguousarray((values & np.uint32((1 << width) - 1)).reshape(-1, 64).T).astype(np.uint64)
+    for j in range(64 if width else 0):
+        word, shift = divmod(j * width, 64)
+        out[word] |= lanes[j] << np.uint64(shift)
+        if shift + width > 64:
+            out[word + 1] |= lanes[j] >> np.uint64(64 - shift)
+    return np.ascontiguousarray(out.T).reshape(rows, -1)
+
+
+def unpack(words: np.ndarray, width: int) -> np.ndarray:
+    """The rows that pack was given."""
+    rows = len(words)
+    if not width:
+        return np.zeros((rows, 0), np.uint32)
     if width in (8, 16, 32):
-        return np.frombuffer(data, f"<u{width // 8}", n).astype(np.uint32)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * width, bitorder="little").reshape(n, width)
-    return (bits.astype(np.uint32) << np.arange(width, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
-
-
-def encode_block(ids: np.ndarray) -> bytes:
-    low = int(ids.min())
-    rest = (ids - np.uint32(low)).astype(np.uint32)
-    width = int(np.partition(rest, k := (len(rest) - 1) * KEEP // 100)[k]).bit_length()
-    high = rest >> np.uint32(width) if width < 32 else np.zeros_like(rest)
-    odd = np.flatnonzero(high)
-    head = np.array([low], "<u4").tobytes() + bytes([width]) + np.array([len(ids), len(odd)], "<u2").tobytes()
-    return head + pack(rest, width) + odd.astype("<u2").tobytes() + high[odd].astype("<u4").tobytes()
-
-
-def decode_block(data: memoryview) -> np.ndarray:
-    low = int.from_bytes(data[:4], "little")
-    width = data[4]
-    n, odd = (int.from_bytes(data[i : i + 2], "little") for i in (5, 7))
-    size = -(-n * width // 8)
-    out = unpack(data[9 : 9 + size], n, width)
-    if odd:
-        where = np.frombuffer(data, "<u2", odd, 9 + size)
-        out[where] |= np.frombuffer(data, "<u4", odd, 9 + size + 2 * odd) << np.uint32(width)
-    return out + np.uint32(low)
+        return np.ascontiguousarray(words).view(f"<u{width // 8}").astype(np.uint32)
+    columns = np.ascontiguousarray(words.reshape(-1, width).T)
+    out = np.empty((64, columns.shape[1]), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for j in range(64):
+        word, shift = divmod(j * width, 64)
+        lane = columns[word] >> np.uint64(shift)
+        if shift + width > 64:
+            lane |= columns[word + 1] << np.uint64(64 - shift)
+        out[j] = lane & mask
+    return np.ascontiguousarray(out.T).reshape(rows, -1)
+
+
+def _widths(rest: np.ndarray, n: int) -> np.ndarray:
+    """For each row, the width of the percentile in KEEP that takes the fewest bytes; only the first n columns count."""
+    rows = len(rest)
+    length = (rest[:, :n].astype(np.float64).view(np.int64) >> 52) - 1022
+    length[rest[:, :n] == 0] = 0
+    counts = np.bincount((np.arange(rows)[:, None] * 33 + length).ravel(), minlength=rows * 33).reshape(rows, 33)
+    below = np.cumsum(counts, axis=1)
+    choice = np.stack([(below < -(-n * k // 100)).sum(axis=1) for k in KEEP])
+    cost = choice * n / 8 + 6 * (n - np.take_along_axis(below, choice.T, axis=1).T)
+    return choice[cost.argmin(axis=0), np.arange(rows)]
+
+
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """The blocks of ids, all of BLOCK ids but the last; blocks of equal width are packed together."""
+    full = len(ids) // BLOCK
+    parts = [ids[: full * BLOCK].reshape(full, BLOCK)] if full else []
+    if tail := len(ids) - full * BLOCK:
+        parts.append(np.pad(ids[-tail:], (0, -tail % 64), mode="edge")[None])
+    out: list[bytes] = []
+    for part in parts:
+        n = BLOCK if part.shape[1] == BLOCK and len(out) < full else tail
+        low = part[:, :n].min(axis=1)
+        rest = np.where(np.arange(part.shape[1]) < n, part - low[:, None], 0).astype(np.uint32)
+        widths = _widths(rest, n)
+        made: list[bytes] = [b""] * len(part)
+        for width in np.unique(widths).tolist():
+            rows = np.flatnonzero(widths == width)
+            packed = pack(rest[rows], width)
+            high = (rest[rows].astype(np.uint64) >> np.uint64(width)).astype("<u4")
+            for k, row in enumerate(rows.tolist()):
+                odd = np.flatnonzero(high[k])
+                head = np.array([low[row]], "<u4").tobytes() + bytes([width]) + np.array([n, len(odd)], "<u2").tobytes()
+                made[row] = head + packed[k].astype("<u8").tobytes() + odd.astype("<u2").tobytes() + high[k][odd].tobytes()
+        out += made
+    return out
+
+
+def decode_blocks(payload: bytes, starts: list[int]) -> np.ndarray:
+    """The ids of the blocks that begin at starts."""
+    heads = [(int.from_bytes(payload[i : i + 4], "little"), payload[i + 4], *np.frombuffer(payload, "<u2", 2, i + 5).tolist()) for i in starts]
+    at = np.concatenate([[0], np.cumsum([h[2] for h in heads])]).astype(np.int64)
+    out = np.empty(int(at[-1]), np.uint32)
+    alike: dict[tuple[int, int], list[int]] = {}
+    for k, (_, width, n, _) in enumerate(heads):
+        alike.setdefault((width, -(-n // 64)), []).append(k)
+    for (width, lanes), group in alike.items():
+        size = lanes * width
+        words = np.stack([np.frombuffer(payload, "<u8", size, starts[k] + 9) for k in group]) if size else None
+        values = unpack(words, width) if size else np.zeros((len(group), lanes * 64), np.uint32)
+        for row, k in enumerate(group):
+            low, _, n, odd = heads[k]
+            own = out[at[k] : at[k + 1]]
+            own[:] = values[row, :n]
+            if odd:
+                tail = starts[k] + 9 + 8 * size
+                own[np.frombuffer(payload, "<u2", odd, tail)] |= np.frombuffer(payload, "<u4", odd, tail + 2 * odd) << np.uint32(width)
+            own += np.uint32(low)
+    return out
 
 
 def encode_shard(doc_ids: list[int], ids: list[np.ndarray]) -> bytes:
     flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    blocks = [encode_block(flat[i : i + BLOCK]) for i in range(0, len(flat), BLOCK)]
+    blocks = encode_blocks(flat.astype(np.uint32))
     head = np.array([MAGIC, len(ids), len(flat), len(blocks)], "<u4").tobytes() + np.array(doc_ids, "<i8").tobytes() + np.array([len(x) for x in ids], "<u4").tobytes()
-    base = len(head) + 4 * len(blocks)
-    at = base + np.concatenate([[0], np.cumsum([len(x) for x in blocks])[:-1]]) if blocks else np.zeros(0)
+    at = np.cumsum([len(head) + 4 * len(blocks), *(len(x) for x in blocks)])[:-1]
     return head + at.astype("<u4").tobytes() + b"".join(blocks)
 
 
@@ -100,56 +156,95 @@ def decode_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("not a token shard")
     doc_ids = np.frombuffer(payload, "<i8", docs, 16)
     counts = np.frombuffer(payload, "<u4", docs, 16 + 8 * docs).astype(np.int64)
-    at = np.frombuffer(payload, "<u4", blocks, 16 + 12 * docs)
-    view = memoryview(payload)
-    out = np.concatenate([decode_block(view[i:]) for i in at.tolist()]) if blocks else np.zeros(0, np.uint32)
+    out = decode_blocks(payload, np.frombuffer(payload, "<u4", blocks, 16 + 12 * docs).tolist())
     if len(out) != n or counts.sum() != n:
         raise ValueError("a token shard is damaged")
     return doc_ids, counts, out
 
 
+class _Known(dict):
+    """Unit -> ids as bytes. Looking up one that isn't there notes it and gives nothing."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, unit: str) -> None:
+        self.missed.append(unit)
+        self[unit] = None
+
+
 class LibraryEncoder:
-    """Ids from the tokenizers library, for vocabularies whose pieces never cross white space.
+    """Ids from the tokenizers library, for vocabularies that drop white space and split letters from other signs.
 
-    Texts are cut at spaces; the library encodes each unit that isn't in the
-    table (of bounded size) yet. Strings of special tokens in a text are ordinary text.
+    Texts are cut at spaces and line ends into units. A unit of letters and
+    closing punctuation is cut again between the two, so that a word is encoded
+    once, whatever follows it; the library encodes what isn't in the tables (of
+    bounded size) yet. Strings of special tokens in a text are ordinary text.
     """
 
+    #: Signs after a word that the pattern always splits from letters; no apostrophe, which may begin a contraction.
+    CLOSING = ".,;:!?"
+
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        units = [x.split(" ") for x in texts]
-        young, old, need, long = self.young, self.old, set(), {}
-        if len(young) > KEPT_UNITS:
-            self.old = old = young
-            self.young = young = {}
-        for x in units:
-            need.update(x)
-        need.difference_update(young.keys())
-        fresh = []
-        for x in need:
-            ids = old.get(x)
-            if ids is None:
-                fresh.append(x)
-            else:
-                young[x] = ids
+        self.units, self.old_units = _Known(), {}
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
+
+    def _parts(self, unit: str) -> tuple[str, str]:
+        word = unit.rstrip(self.CLOSING)
+        if not word.isalpha() or not (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
+            return unit, ""
+        return word.lower() if word.isascii() else word, unit[len(word) :]
+
+    def _learn(self, units: list[str]) -> None:
+        """Puts the ids of units into the table."""
+        words, fresh = self.words, []
+        cut = {}
+        for unit in units:
+            if (ids := self.old_units.get(unit)) is not None:
+                self.units[unit] = ids
+                continue
+            cut[unit] = parts = self._parts(unit)
+            for x in parts:
+                if x not in words:
+                    ids = self.old_words.get(x)
+                    if ids is None:
+                        fresh.append(x)
+                        ids = b""
+                    words[x] = ids
         for i in range(0, len(fresh), 4096):
             part = fresh[i : i + 4096]
             for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                (young if len(x) <= KEPT_LENGTH else long)[x] = np.array(e.ids, "<u4").tobytes()
-        if long:
-            both = lambda x: young[x] if x in young else long[x]
-            return [b"".join(map(both, x)) for x in units]
-        get = young.__getitem__
-        return [b"".join(map(get, x)) for x in units]
+                words[x] = array("I", e.ids).tobytes()
+        for unit, (word, tail) in cut.items():
+            self.units[unit] = words[word] + words[tail] if tail else words[word]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids as little-endian unsigned 32-bit integers."""
+        if len(self.units) > KEPT_UNITS:
+            self.old_units, self.units = dict(self.units), _Known()
+        if len(self.words) > KEPT_UNITS:
+            self.old_words, self.words = self.words, {}
+        known = self.units
+        cut = [x.replace("\n", " ").split(" ") for x in texts]
+        get = known.__getitem__
+        for x in cut:
+            deque(map(get, x), 0)
+        if missed := known.missed:
+            known.missed = []
+            self._learn(missed)
+        out = [b"".join(map(get, x)) for x in cut]
+        for unit in missed:
+            if len(unit) > KEPT_LENGTH:
+                known.pop(unit, None)
+                self.words.pop(self._parts(unit)[0], None)
+        return out
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
