@@ -18,8 +18,10 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import labels as L
+from ..operators import pages as G
 from ..operators import pixels as P
 from ..operators import split as D
+from ..operators import synth as Y
 
 OCR, SYNTH, VERDICT = DEFAULTS["ocr"], DEFAULTS["synth"], DEFAULTS["verdict"]
 SCORED = list(DEFAULTS["scores"])
@@ -577,3 +579,26 @@ def q_px_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT page, row_number() OVER (PARTITION BY page ORDER BY min(y)) AS line, min(y) AS top, count(*) AS height FROM i GROUP BY page, island""")
 def q_px_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.line_runs(_px(spark, sf_dir)).select("page", F.col("line").cast("long").alias("line"), "top", "height")
+
+
+@query()
+def q_synth_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recipe of all synthetic pages; a sequential plan, so it has no SQL."""
+    r = SYNTH["reference"]
+    clean = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select(F.col("doc_id").alias("image"))
+    refs = D.references(_pre(spark, sf_dir), D.held_out(_split(spark, sf_dir)), clean, r["count"], r["max_defect_score"])
+    plan = Y.recipe(refs.withColumn("down", ~F.col("human")), SYNTH["target_total"], DEFAULTS, ["down", "suspicion", "image"])
+    return plan.select("image", "reference", "document", F.to_json("steps").alias("steps"), "seed")
+
+
+@query()
+def q_kernel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 37 measures, scores and verdicts of the vectors read as 8x8 pages, each enlarged twelve times."""
+    side, times = 8, 12
+    v = table(spark, sf_dir, "embeddings")
+    grey = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e.cast("double") * 255 + 128))).cast("int"))
+    line = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side * times - 1)), lambda y: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda x: F.array_repeat(F.element_at("g", (F.floor(y / times) * side + x + 1).cast("int")), times)))))
+    hexes = F.array_join(F.transform(line, lambda b: F.lpad(F.hex(b), 2, "0")), "")
+    px = v.select(F.col("vec_id").cast("string").alias("path"), grey.alias("g")).select("path", F.lit(0).alias("page"), F.lit(side * times).alias("height"), F.lit(side * times).alias("width"), F.lit(0.0).alias("dpi"), F.lit(side * times).alias("original_width"), F.unhex(hexes).alias("gray"))
+    small = DEFAULTS | {"patch_size": 48, "grid": {"rows": 2, "cols": 2}}
+    return G.reports(G.scored(G.raw_metrics(px, small), small), small).select("image", "verdict", "quality_score", F.to_json("cv_metrics").alias("cv_metrics"))
