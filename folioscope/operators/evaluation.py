@@ -57,8 +57,12 @@ def spearman(rows: DataFrame, x: str = "x", y: str = "y", by: list[str] | None =
     by = by or ["metric"]
     ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
     ranked = ok.withColumn("__rx", average_rank(x, by)).withColumn("__ry", average_rank(y, by))
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__rx", "__ry").alias("rho"), F.count_distinct(x).alias("__dx"), F.count_distinct(y).alias("__dy"))
-    return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("__dx") > 1) & (F.col("__dy") > 1), F.col("rho")).alias("rho"))
+    x, y = F.col("__rx"), F.col("__ry")
+    sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
+    n = F.col("n")
+    # The built-in correlation divides by zero for a constant side under ANSI rules.
+    rho = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))))
+    return sums.select(*by, "n", F.when(n >= 3, rho).alias("rho"))
 
 
 def spearman_p(rho: float, n: int) -> float:

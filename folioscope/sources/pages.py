@@ -25,7 +25,7 @@ GREY = np.array([0.299, 0.587, 0.114])
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (*SUFFIXES, "pdf")) -> DataFrame:
-    """path, content of all page files below root."""
+    """path, content of all page files below root. Spark's reader leaves files of no bytes out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*suffixes)).select("path", "content")
 
@@ -118,7 +118,7 @@ def read_dpi(data: bytes) -> float | None:
                     dpi = a / b
     except (struct.error, ZeroDivisionError, IndexError):
         return None
-    return dpi if dpi and dpi > 72 else None
+    return dpi if dpi and round(dpi) > 72 else None
 
 
 def guess_dpi(height: int, width: int, fallback: str) -> float | None:
