@@ -24,11 +24,11 @@ Columns besides doc_id and text are ignored; an empty table has no shard.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 import zlib
 from array import array
-from collections import deque
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -37,13 +37,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import KEPT_LENGTH, KEPT_UNITS
+from .bpe import KEPT_LENGTH
 from .common import ids_and_texts, scratch, slices
 
 MAGIC = 0x31525046
 BLOCK = 4096
 KEEP = (90, 95, 99, 100)  # percentiles of differences that the packed width may hold
 SHARD_IDS = 2_000_000
+#: Units and words kept in each of the two generations of the encoder's tables.
+KEPT_UNITS = KEPT_WORDS = 500_000
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
@@ -192,54 +194,71 @@ class LibraryEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            lean = json.load(f)
+        # For words that are normal already: the same model without the normaliser and the splitting pattern, which would change nothing.
+        steps = (lean.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        self.word_tokenizer = self.tokenizer
+        if [x["type"] for x in (lean.get("normalizer") or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]:
+            lean |= {"normalizer": None, "pre_tokenizer": steps[1]}
+            self.word_tokenizer = Tokenizer.from_str(json.dumps(lean))
+            self.word_tokenizer.encode_special_tokens = True
         self.units, self.old_units = _Known(), {}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
-    def _parts(self, unit: str) -> tuple[str, str]:
+    def _parts(self, unit: str) -> tuple[str, str, bool]:
+        """The unit as a word and its closing signs; whether the word is letters in their normal form."""
         word = unit.rstrip(self.CLOSING)
-        if not word.isalpha() or not (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha()):
-            return unit, ""
-        return word.lower() if word.isascii() else word, unit[len(word) :]
+        if word.isalpha():
+            normal = word.lower() if word.isascii() else "".join(x.lower() for x in unicodedata.normalize("NFC", word))
+            if normal.isalpha():
+                return normal, unit[len(word) :], True
+        return unit, "", False
 
     def _learn(self, units: list[str]) -> None:
         """Puts the ids of units into the table."""
-        words, fresh = self.words, []
+        words, fresh = self.words, ([], [])
         cut = {}
         for unit in units:
             if (ids := self.old_units.get(unit)) is not None:
                 self.units[unit] = ids
                 continue
-            cut[unit] = parts = self._parts(unit)
-            for x in parts:
+            cut[unit] = word, tail, normal = self._parts(unit)
+            for x, kind in ((word, normal), (tail, False)):
                 if x not in words:
                     ids = self.old_words.get(x)
                     if ids is None:
-                        fresh.append(x)
+                        fresh[kind].append(x)
                         ids = b""
                     words[x] = ids
-        for i in range(0, len(fresh), 4096):
-            part = fresh[i : i + 4096]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                words[x] = array("I", e.ids).tobytes()
-        for unit, (word, tail) in cut.items():
+        for own, tokenizer in zip(fresh, (self.tokenizer, self.word_tokenizer), strict=True):
+            for i in range(0, len(own), 4096):
+                part = own[i : i + 4096]
+                for x, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    words[x] = array("I", e.ids).tobytes()
+        for unit, (word, tail, _) in cut.items():
             self.units[unit] = words[word] + words[tail] if tail else words[word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
         if len(self.units) > KEPT_UNITS:
             self.old_units, self.units = dict(self.units), _Known()
-        if len(self.words) > KEPT_UNITS:
+        if len(self.words) > KEPT_WORDS:
             self.old_words, self.words = self.words, {}
         known = self.units
         cut = [x.replace("\n", " ").split(" ") for x in texts]
         get = known.__getitem__
-        for x in cut:
-            deque(map(get, x), 0)
-        if missed := known.missed:
-            known.missed = []
+        found = [list(map(get, x)) for x in cut]
+        missed, known.missed = known.missed, []
+        if missed:
             self._learn(missed)
-        out = [b"".join(map(get, x)) for x in cut]
+            for units, ids in zip(cut, found, strict=True):
+                at = -1
+                for _ in range(ids.count(None)):
+                    at = ids.index(None, at + 1)
+                    ids[at] = known[units[at]]
+        out = list(map(b"".join, found))
         for unit in missed:
             if len(unit) > KEPT_LENGTH:
                 known.pop(unit, None)
