@@ -11,8 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Own column names start with this, so that extra input columns can't clash.
-OWN = "__fs_"
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ids_and_texts, slices, text_buffer
+from .common import fresh, ids_and_texts, slices, text_buffer
 
 PRIME = (1 << 31) - 1
 RADICES = (1_103_515_245, 747_796_405)
@@ -149,11 +149,11 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups doesn't keep; all columns stay."""
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__fs_id"), F.col("text_sha256").alias("__fs_kept"))
-    marked = docs.withColumn("__fs_sha", sha)
-    joined = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__fs_id")) & (F.col("__fs_sha") == F.col("__fs_kept")))
-    return joined.dropDuplicates(["__fs_id", "__fs_kept"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, sha = fresh(docs, "own_id", "own_sha")
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))  # never null, so join and dropDuplicates share one shuffle
+    kept = exact_groups(docs).where("kept").select(key.alias(own), F.col("text_sha256").alias(sha))
+    marked = docs.withColumn(own, key).withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    return marked.join(kept, [own, sha]).dropDuplicates([own, sha]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = """
