@@ -28,9 +28,9 @@ MESSAGE = "block int, bucket int, kind int, payload binary"
 QUESTION, FLAGGED, CARRY = 0, 1, 2
 
 
-def sized(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def sized(docs: DataFrame, block_bytes: int | None = None) -> tuple[DataFrame, int]:
     """(block, doc_id, text) and the bytes of all texts."""
-    rows = ids_and_texts(docs)
+    rows, block_bytes = ids_and_texts(docs), block_bytes or BLOCK_BYTES
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(1, -(-total // block_bytes))
     return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("block"), "doc_id", "text"), total
