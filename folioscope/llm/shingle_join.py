@@ -6,13 +6,16 @@ sets take part once. Sets are ordered by one global order, common shingles last
 bounded size, which decides cost and never results), so two sets that link must
 share a token of their short prefixes.
 
-Blocks ask which prefix tokens another set holds, too; only these survive, and
-only sets with such a token go on. Sets with identical prefixes and size form a
+Blocks ask which tokens of a somewhat longer prefix another set holds, too. A set
+with fewer shared ones than any link needs goes no further; of the others the
+shared prefix tokens are kept. Sets with identical prefixes and size form a
 group, which stands in the token lists once. Then, for each token and size band,
-every group is tried against one leading group, and every member against its
-group's first. That makes no more pairs than there are rows, and joins a crowd
-of near copies without trying all its pairs. What is left are tokens whose groups
-hold different components: those outside the token's largest component are
+every group is tried against one leading group (the one with most shared tokens,
+so the original rather than one of its altered copies), and every member against
+its group's first; this is done LEADERS times, later with leaders from outside
+the token's largest component. A round makes no more pairs than there are rows,
+and joins a crowd of near copies without trying all its pairs. What is left are
+tokens whose groups hold different components: those outside the largest one are
 paired with all of it, group pairs pass the size and position bounds, and only
 then are members expanded and verified. Pairs inside one component need no trial,
 as only components are reported; no link between different components is lost.
@@ -35,13 +38,17 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import meet, mix, names, question, read_answer
-from .common import scratch, slices, text_buffer
+from .common import checkpoint, fresh, scratch, slices, text_buffer
 from .components import components
 
 WORDS = 4
 THRESHOLD = 85  # per cent
 #: Shingles on the list of common ones, and how often one must occur in a slice to be counted for it.
 COMMON, COMMON_IN_SLICE = 1 << 17, 4
+#: Tokens asked for beyond the prefix, in per cent of a set. A set with fewer shared tokens than that can't link and goes no further.
+SURE = 10
+#: Rounds in which each token's groups are tried against one leader.
+LEADERS = 3
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -101,6 +108,15 @@ def needed(n: int, threshold: int) -> int:
     return -(-threshold * n // 100)
 
 
+def prefix_size(n: int, threshold: int) -> int:
+    return n - needed(n, threshold) + 1
+
+
+def sure(n: int) -> int:
+    """How many of the first prefix_size(n) + sure(n) - 1 tokens a set that links shares with others: it misses n - needed(n) at most."""
+    return max(1, n * SURE // 100)
+
+
 class Order:
     """The global order: names ascending, the common ones (given commonest first) after all others, the commonest last."""
 
@@ -109,7 +125,8 @@ class Order:
         self.rank = -np.argsort(common, kind="stable")
 
     def prefix(self, s: np.ndarray, threshold: int) -> np.ndarray:
-        n = len(s) - needed(len(s), threshold) + 1
+        """The prefix that any linking set shares a token of, and SURE per cent of the set's tokens more."""
+        n = prefix_size(len(s), threshold) + sure(len(s)) - 1
         if not len(self.sorted):
             return s[:n]
         at = np.minimum(np.searchsorted(self.sorted, s), len(self.sorted) - 1)
@@ -171,6 +188,28 @@ def _may_link(n1: str, p1: str, n2: str, p2: str, threshold: int) -> F.Column:
     return (F.least(a, b) * 100 >= F.greatest(a, b) * threshold) & (most * (100 + threshold) >= (a + b) * threshold)
 
 
+def _largest(placed: DataFrame) -> DataFrame:
+    """token, main: the largest component of each token that has more than one."""
+    sizes = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    return sizes.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("m")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
+
+
+def _merged(joined: DataFrame | None, links: DataFrame) -> tuple[DataFrame | None, bool]:
+    """Components (node, comp) after more links, and whether there were any."""
+    if joined is None:
+        more = components(links)
+        return more, more is not None
+    lift = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
+    links = links.join(lift("a"), "a", "left").join(lift("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    more = components(links)
+    if more is None:
+        return joined, False
+    up = more.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
+    old = joined.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+    new = more.join(joined.select("node"), "node", "left_anti").select("node", "comp")
+    return checkpoint(old.unionByName(new)), True
+
+
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -182,7 +221,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRE
     documents = catalogue.where("not common").select("block", "doc_id", "n", "id")
     groups = documents.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first_id"), F.min("block").alias("block"), F.min("n").alias("n"))
     sent = spark.sparkContext.broadcast(common)  # at most COMMON names
-    buckets = max(1, -(-(total // 20) // blocks.BUCKET_NAMES))  # a prefix token for some 20 bytes at most
+    buckets = max(1, -(-(total // 20) // blocks.BUCKET_NAMES))  # a token asked for in some 20 bytes
 
     def held(part: pa.Table, told: pa.Table) -> list[tuple[int, np.ndarray]]:
         """The sets of the groups that this block speaks for."""
@@ -204,7 +243,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRE
         return blocks.messages(question(part.column("block")[0].as_py(), np.unique(np.concatenate(prefixes)), buckets))
 
     def survivors(part: pa.Table, told: pa.Table) -> pa.Table:
-        order, ids, kin, sizes, sets, tokens, places = Order(sent.value), [], [], [], [], [], []
+        order, ids, kin, sizes, central_, sets, tokens, places = Order(sent.value), [], [], [], [], [], [], []
         own = held(part, told) if part.num_rows else []
         prefixes = [order.prefix(s, threshold) for _, s in own]
         if prefixes:
@@ -212,65 +251,72 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRE
             shared = ((count > 1) | read_answer(told.filter(pc.is_valid(told.column("bucket"))), distinct, buckets))[place]
             at = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
             for (i, s), p, a, b in zip(own, prefixes, at[:-1], at[1:], strict=True):
-                if (live := np.flatnonzero(shared[a:b])).size:
+                live = np.flatnonzero(shared[a:b])
+                central = len(live) / (b - a)
+                if len(live) >= sure(len(s)) and (live := live[live < prefix_size(len(s), threshold)]).size:
+                    p = p[: prefix_size(len(s), threshold)]
                     ids.append(i)
                     kin.append(set_id(np.append(p, np.uint64(len(s)))))
                     sizes.append(len(s))
+                    central_.append(central)
                     sets.append(s.tobytes())
                     tokens.append(p[live].view(np.int64))
                     places.append(live)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(kin, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], ["id", "kin", "n", "set", "tokens", "places"])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(kin, pa.int64()), pa.array(sizes, pa.int64()), pa.array(central_, pa.float64()), pa.array(sets, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], ["id", "kin", "n", "central", "set", "tokens", "places"])
 
     speakers = groups.select("block", "id")
     told = blocks.answers(meet(rows, speakers, ask, blocks.MESSAGE))
     both = told.withColumn("id", F.lit(None).cast("long")).unionByName(speakers.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("payload"), "id"))
-    meet(rows, both, survivors, "id long, kin long, n long, set binary, tokens array<long>, places array<long>").write.option("compression", "zstd").parquet(path := scratch(spark, "shingle-sets"))
+    meet(rows, both, survivors, "id long, kin long, n long, central double, set binary, tokens array<long>, places array<long>").write.option("compression", "zstd").parquet(path := scratch(spark, "shingle-sets"))
     sets = spark.read.parquet(path)
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)))
     heads = sets.groupBy("kin").agg(F.min("id").alias("id"))
-    own = sets.select("id", "n", band.alias("band"), "kin", "tokens", "places").join(heads.select("id"), "id", "left_semi")
-    tokens = own.select("id", "n", "band", "kin", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "id", "n", "band", "kin")
-    leader = tokens.groupBy("token", "band").agg(F.min(F.struct("id", "n", "place")).alias("l"), F.count(F.lit(1)).alias("size")).where("size > 1").select("token", "band", F.col("l.id").alias("l_id"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place"))
-    star = tokens.join(leader, ["token", "band"]).where((F.col("id") != F.col("l_id")) & _may_link("n", "place", "l_n", "l_place", threshold)).select(F.col("l_id").alias("a"), F.col("id").alias("b"))
+    own = sets.select("id", "n", band.alias("band"), "central", "kin", "tokens", "places").join(heads.select("id"), "id", "left_semi")
+    tokens = own.select("id", "n", "band", "central", "kin", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "id", "n", "band", "central", "kin")
     inner = sets.select("kin", F.col("id").alias("b")).join(heads.select("kin", F.col("id").alias("a")), "kin").where("a <> b").select("a", "b")
-    star.unionByName(inner).distinct().write.parquet(path := scratch(spark, "shingle-pairs"))
-    star = spark.read.parquet(path)
-    joined = components(_linked(star, sets, threshold))
-
-    members = sets.select("id", "kin")
-    if joined is None:
-        members = members.withColumn("comp", F.col("id"))
-    else:
-        members = members.join(joined.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", "kin", F.coalesce("comp", "id").alias("comp"))
-    placed = tokens.drop("id", "band").join(members.select("kin", "comp").distinct(), "kin")
-    parts = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("m")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
-    mixed = placed.join(parts, "token")
+    tried, joined = None, None
+    members = sets.select("id", "kin", F.col("id").alias("comp"))
+    for nth in range(LEADERS):
+        # Each group stands for each of its components once.
+        rows_ = tokens.drop("id").join(members.groupBy("kin", "comp").agg(F.min("id").alias("id")), "kin")
+        able = rows_
+        if nth:
+            able = rows_.join(_largest(rows_), "token").where("comp <> main")
+        leader = able.groupBy("token", "band").agg(F.max_by(F.struct("id", "n", "place", "comp"), F.struct("central", -F.col("id"))).alias("l")).select("token", "band", F.col("l.id").alias("l_id"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place"), F.col("l.comp").alias("l_comp"))
+        star = rows_.join(leader, ["token", "band"]).where((F.col("comp") != F.col("l_comp")) & _may_link("n", "place", "l_n", "l_place", threshold)).select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b"))
+        if not nth:
+            star = star.unionByName(inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        star = star.distinct()
+        if tried is not None:
+            star = star.join(tried, ["a", "b"], "left_anti")
+        star.write.parquet(path := scratch(spark, "shingle-pairs"))
+        star = spark.read.parquet(path)
+        tried = star if tried is None else tried.unionByName(star)
+        joined, changed = _merged(joined, _linked(star, sets, threshold))
+        if not changed:
+            break
+        members = sets.select("id", "kin").join(joined.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", "kin", F.coalesce("comp", "id").alias("comp"))
+    placed = tokens.drop("id", "band", "central").join(members.select("kin", "comp").distinct(), "kin")
+    mixed = placed.join(_largest(placed), "token")
     odd = mixed.where("comp <> main").select("token", F.col("kin").alias("o_kin"), F.col("n").alias("o_n"), F.col("place").alias("o_place"), F.col("comp").alias("o_comp"))
     pairs = odd.join(mixed, "token").where(((F.col("comp") == F.col("main")) | (F.col("comp") < F.col("o_comp"))) & (F.col("comp") != F.col("o_comp")) & _may_link("n", "place", "o_n", "o_place", threshold)).select("kin", "comp", "o_kin", "o_comp").distinct()
     one = members.select(F.col("id").alias("x"), "kin", "comp")
     two = members.select(F.col("id").alias("y"), F.col("kin").alias("o_kin"), F.col("comp").alias("o_comp"))
     rest = pairs.join(one, ["kin", "comp"]).join(two, ["o_kin", "o_comp"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _linked(rest.join(tried, ["a", "b"], "left_anti"), sets, threshold)
-    of = documents
-    final = groups.select("id", "first_id")
+    joined, _ = _merged(joined, _linked(rest.join(tried, ["a", "b"], "left_anti"), sets, threshold))
+    final = groups.select("id", "first_id", F.col("id").alias("comp"))
     if joined is not None:
-        by = joined.select(F.col("node").alias("id"), "comp")
-        more = more.join(by.select(F.col("id").alias("a"), F.col("comp").alias("ca")), "a", "left").join(by.select(F.col("id").alias("b"), F.col("comp").alias("cb")), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        final = final.join(by, "id", "left").select("id", "first_id", F.coalesce("comp", "id").alias("comp"))
-    else:
-        final = final.withColumn("comp", F.col("id"))
-    again = components(more)
-    if again is not None:
-        final = final.join(again.select(F.col("node").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", "first_id", F.coalesce("top", "comp").alias("comp"))
+        final = groups.select("id", "first_id").join(joined.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", "first_id", F.coalesce("comp", "id").alias("comp"))
     label = final.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = final.join(label, "comp").select(F.col("id").alias("g_id"), "component_id")
-    out = of.join(named, (F.col("id") == F.col("g_id")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
+    out = documents.join(named, (F.col("id") == F.col("g_id")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, n_words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """docs with one document of each component, that of the smallest doc_id; all columns stay. Rows with a null doc_id stay."""
-    kept = near_duplicates(docs, n_words, threshold).where("doc_id = component_id").select(F.col("doc_id").alias("__fs_id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__fs_id"), "left").where(F.col("__fs_id").isNotNull() | F.col("doc_id").isNull()).drop("__fs_id")
+    (own,) = fresh(docs, "own_id")
+    kept = near_duplicates(docs, n_words, threshold).where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    joined = docs.join(kept, F.col("doc_id").cast("long") == F.col(own), "left")
+    return joined.where(F.col(own).isNotNull() | F.col("doc_id").isNull()).drop(own)
