@@ -16,9 +16,9 @@ their distinct words with counts to buckets of word names, which answer with
 totals. The weights start from class frequencies and are trained by rounds of
 distributed gradient updates: every task runs AdaGrad over its own documents,
 the tasks' weights are averaged by tokens, and the next round starts there. The
-updates read TRAIN_SHARE of the training documents, chosen by a hash, so what
-they gather grows with the input. Scoring is in sparse batches: rows of the weight
-tables are gathered by index, nothing dense in the vocabulary is formed.
+updates read every training document in every round. Scoring is in sparse batches:
+rows of the weight tables are gathered by index, nothing dense in the vocabulary is
+formed.
 
 Defined results: null and empty texts are one end token. A null doc_id is not
 learnt from and not held out. Repeated rows are scored each; columns besides
@@ -48,7 +48,6 @@ HASHED = 1 << 12
 WINDOW = 16
 CHUNK = 1 << 14
 ROUNDS = 2
-TRAIN_SHARE = 0.125
 RATE = 0.3
 END = np.uint64(0x1D2C3B4A59687786)
 BLOCK_BYTES = 8 << 20
@@ -206,16 +205,20 @@ class Contexts:
         self.skip = two
         self.span = np.minimum(np.arange(n) - np.repeat(t.at[:-1], np.diff(t.at)), WINDOW)
 
-    def logits(self, w: Weights, a: int, b: int) -> np.ndarray:
-        x = w.tables["word"][self.word[a:b]]
-        x += w.tables["bias"]
-        x += w.tables["pair"][self.pair[a:b]]
-        x += w.tables["skip"][self.skip[a:b]]
-        lo = max(0, a - WINDOW)
-        run = np.zeros((b - lo + 1, CLASSES), np.float32)
-        np.cumsum(w.tables["window"][self.cls[lo:b]], axis=0, out=run[1:])
-        i, span = np.arange(a - lo, b - lo), self.span[a:b]
-        x += (run[i] - run[i - span]) / np.maximum(span, 1)[:, None].astype(np.float32)
+    def windows(self, a: int, b: int) -> np.ndarray:
+        """For each of tokens a to b, the share of every class among the words of its window."""
+        n, span = b - a, self.span[a:b]
+        out = np.zeros(n * CLASSES, np.uint8)  # counts up to WINDOW
+        for k in range(1, WINDOW + 1):  # places are distinct for each k
+            i = np.flatnonzero(span >= k)
+            out[i * CLASSES + self.cls[i + (a - k)]] += 1
+        return out.reshape(n, CLASSES) / np.maximum(span, 1)[:, None].astype(np.float32)
+
+    def logits(self, w: Weights, a: int, b: int, windows: np.ndarray | None = None) -> np.ndarray:
+        x = (self.windows(a, b) if windows is None else windows) @ w.tables["window"][:CLASSES]
+        x += w.tables["word"][self.word[a:b]]
+        # the class two before is part of the pair, so its row, the bias and the pair's row are one
+        x += (w.tables["pair"].reshape(-1, CLASSES + 1, CLASSES) + (w.tables["skip"] + w.tables["bias"])).reshape(-1, CLASSES)[self.pair[a:b]]
         return x
 
     def log_class(self, w: Weights) -> np.ndarray:
@@ -231,47 +234,39 @@ class Contexts:
 
     def gradient(self, w: Weights, a: int, b: int) -> np.ndarray:
         """Of the mean log probability of tokens a to b."""
-        x = self.logits(w, a, b)
+        windows = self.windows(a, b)
+        x = self.logits(w, a, b, windows)
         x -= x.max(axis=1, keepdims=True)
         np.exp(x, out=x)
-        x /= -x.sum(axis=1, keepdims=True)
-        x[np.arange(b - a), self.cls[a:b]] += 1
-        x /= b - a
+        x *= np.float32(-1 / (b - a)) / x.sum(axis=1, keepdims=True)
+        x[np.arange(b - a), self.cls[a:b]] += np.float32(1 / (b - a))
         out = Weights(np.zeros(Weights.size(), np.float32))
-        out.tables["bias"][0] = x.sum(axis=0)
-        for name, rows in (("word", self.word), ("pair", self.pair), ("skip", self.skip)):
-            _add_rows(out.tables[name], rows[a:b], x)
-        # every token passes its part to the classes in its window
-        share = x / np.maximum(self.span[a:b], 1)[:, None].astype(np.float32)
-        lo = max(0, a - WINDOW)
-        step = np.zeros((b - lo + 1, CLASSES), np.float32)
-        i, span = np.arange(a - lo, b - lo), self.span[a:b]
-        for k in range(1, WINDOW + 1):  # places are distinct for each k
-            live = span == k
-            step[i[live] - k] += share[live]
-        step[i[span > 0]] -= share[span > 0]
-        _add_rows(out.tables["window"], self.cls[lo:b], np.cumsum(step[:-1], axis=0))
+        _add_rows(out.tables["word"], self.word[a:b], x)
+        _add_rows(out.tables["pair"], self.pair[a:b], x)
+        out.tables["skip"] += out.tables["pair"].reshape(-1, CLASSES + 1, CLASSES).sum(axis=0)
+        out.tables["bias"][0] = out.tables["skip"].sum(axis=0)
+        out.tables["window"][:CLASSES] = windows.T @ x
         return out.flat
 
 
 def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    order = np.argsort(rows, kind="stable")
-    at = rows[order]
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    table[at[starts]] += np.add.reduceat(values[order], starts, axis=0)
+    """Adds each value to its row of the table; by flat places, as numpy is fast at these only."""
+    np.add.at(table.reshape(-1), (rows[:, None] * CLASSES + np.arange(CLASSES)).reshape(-1), values.reshape(-1))
 
 
 PARTS = 16
 
 
-def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, share: float = TRAIN_SHARE) -> np.ndarray:
+def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, share: float = 1.0) -> np.ndarray:
     """The weights, flat."""
     spark = docs.sparkSession
     flat = np.zeros(Weights.size(), np.float32)
     flat[:CLASSES] = np.log((counts.class_tokens + 0.5) / (counts.class_tokens.sum() + 0.5 * CLASSES))
     if not counts.total:
         return flat
-    rows = ids_and_texts(docs).where(F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))))
+    rows = ids_and_texts(docs).where(F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1))
+    if share < 1:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
     size = -(-len(flat) // PARTS)
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast(flat)  # a fixed size
@@ -303,7 +298,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, share: float =
     return flat
 
 
-def score_documents(docs: DataFrame, share: float = TRAIN_SHARE) -> DataFrame:
+def score_documents(docs: DataFrame, share: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows, total_bytes = blocks.sized(docs, BLOCK_BYTES)
     told, counts, buckets = count_words(rows, total_bytes)

@@ -195,6 +195,40 @@ def test_maxent_is_a_distribution_and_learns():
     assert (c.log_class(maxent_lm.Weights(up)).mean() - c.log_class(maxent_lm.Weights(down)).mean()) / (2 * e) == pytest.approx(g[at], rel=0.05)
 
 
+def test_maxent_learns_from_the_whole_fold(spark):
+    """Two documents outside the old sample of an eighth: the weights leave the class frequencies, and words of each count."""
+    rows = [(i, "") for i in range(400)]
+    late = [r.doc_id for r in make(spark, rows, extra=False).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) >= 1 << 17).collect() if not maxent_lm.is_held_out(r.doc_id)][:2]
+    docs = make(spark, [(late[0], "a b a c " * 50), (late[1], "x y x z " * 50)])
+    rows, size = blocks.sized(docs, maxent_lm.BLOCK_BYTES)
+    _, counts, _ = maxent_lm.count_words(rows, size)
+    whole, none = maxent_lm.train(docs, counts), maxent_lm.train(docs, counts, rounds=0)
+    assert np.abs(whole - none).max() > 0.1
+    assert all(np.abs(whole - maxent_lm.train(docs.where(F.col("doc_id") == i), counts)).max() > 0.01 for i in late)
+
+
+def test_maxent_gradient_by_loops():
+    rng = np.random.default_rng(2)
+    text = np.frombuffer(b" ".join(bytes(rng.choice(list(b"abcdef"), 2)) for _ in range(60)), np.uint8)
+    t = maxent_lm.tokens(text, np.array([0, 0, 4, 90, len(text)]))
+    n = np.ones(maxent_lm.CLASSES, np.int64)
+    c = maxent_lm.Contexts(t, maxent_lm.Counts(100, 10, n, n, np.sort(t.distinct[:3])).classes(t))
+    w = maxent_lm.Weights(rng.normal(0, 0.5, maxent_lm.Weights.size()).astype(np.float32))
+    want = maxent_lm.Weights(np.zeros(maxent_lm.Weights.size()))
+    a, b = 10, len(c.cls)
+    for i in range(a, b):
+        window = [c.cls[i - k] for k in range(1, c.span[i] + 1)]
+        x = w.tables["bias"][0].astype(float) + w.tables["word"][c.word[i]] + w.tables["pair"][c.pair[i]] + w.tables["skip"][c.skip[i]] + sum(w.tables["window"][k] for k in window) / max(1, len(window))
+        assert np.allclose(x, c.logits(w, i, i + 1)[0], atol=1e-4)
+        d = -np.exp(x) / np.exp(x).sum() / (b - a)
+        d[c.cls[i]] += 1 / (b - a)
+        for name, row in (("bias", 0), ("word", c.word[i]), ("pair", c.pair[i]), ("skip", c.skip[i])):
+            want.tables[name][row] += d
+        for k in window:
+            want.tables["window"][k] += d / len(window)
+    assert np.allclose(c.gradient(w, a, b), want.flat, atol=1e-6)
+
+
 # 4
 
 
