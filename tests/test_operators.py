@@ -1,5 +1,6 @@
 """Operators on small hand-made tables."""
 
+import hashlib
 import math
 
 import pytest
@@ -106,6 +107,33 @@ def test_split_beyond_the_greedy_bound(spark, monkeypatch):
     assert abs(share["train"] - 0.2) < 0.05 and abs(share["val"] - 0.3) < 0.05
 
 
+def _greedy(sizes, ratios, seed):
+    """The rule one document at a time."""
+    pages, filled, out = sum(sizes.values()), dict.fromkeys(ratios, 0), {}
+    for d in sorted(sizes, key=lambda d: (-sizes[d], hashlib.md5(f"{seed}:{d}".encode()).hexdigest(), d)):
+        out[d] = max(ratios, key=lambda p: pages * ratios[p] - filled[p])
+        filled[out[d]] += sizes[d]
+    return out
+
+
+def test_split_is_greedy_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(D, "GREEDY_DOCUMENTS", 50)
+    monkeypatch.setattr(D, "STEPS", 20)
+    ratios = {"train": 0.2, "val": 0.3, "test": 0.5}
+    for sizes in ({f"d{i}": 1 for i in range(2001)}, {f"d{i}": 1 + (i * i) % 7 + 400 * (i % 97 == 0) + i * (i % 131 == 0) for i in range(1500)}):
+        got = D.allocate(spark.createDataFrame(list(sizes.items()), "document string, n long"), ratios, 42).collect()
+        assert {r["document"]: (r["part"], r["n"]) for r in got} == {d: (p, sizes[d]) for d, p in _greedy(sizes, ratios, 42).items()} and len(got) == len(sizes)
+
+
+def test_split_counts_a_run_off_at_once(monkeypatch):
+    for filled, target, n in (([0, 0, 0], [0.2 * 9001, 0.3 * 9001, 0.5 * 9001], 1), ([70, 3, 500], [200.1, 300.0, 499.9], 3), ([5, 5, 5], [10.0, 10.0, 10.0], 2), ([0, 0, 0], [1.0, 1.0, 2.0], 0)):
+        for k in (0, 1, 2, 3, 50, 333, 900):
+            stepped = D.advance(filled, target, n, k)
+            with monkeypatch.context() as m:
+                m.setattr(D, "STEPS", -1)
+                assert D.advance(filled, target, n, k) == stepped
+
+
 def test_evaluation(spark):
     rows = spark.createDataFrame([("a", True, 0.9), ("a", False, 0.8), ("a", True, 0.8), ("a", False, 0.1), ("b", False, 0.9)], "label string, truth boolean, score double")
     pr = {r["label"]: r for r in E.precision_recall(rows).collect()}
