@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .blocks import MESSAGE, bucket_bounds, meet, messages, mix, names
+from .blocks import MESSAGE, bucket_bounds, meet, messages, mix, word_names
 from .common import ids_and_texts, scratch, slices, text_buffer
 from .shingle_join import words
 
@@ -74,7 +74,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> Tokens:
     lower, start, size = words(data, at)
     bounds = np.searchsorted(start, at)
     n = len(at) - 1
-    named = np.insert(names(lower, start, size), bounds[1:], END)
+    named = np.insert(word_names(lower, start, size), bounds[1:], END)
     kinds = np.insert(suffix_class(lower, start, size), bounds[1:], np.uint32(SUFFIXES))
     distinct, first, place = np.unique(named, return_index=True, return_inverse=True)
     return Tokens(distinct, place, kinds[first], bounds + np.arange(n + 1))
