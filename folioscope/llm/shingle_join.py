@@ -14,11 +14,17 @@ every group is tried against one leading group (the one with most shared tokens,
 so the original rather than one of its altered copies), and every member against
 its group's first; this is done LEADERS times, later with leaders from outside
 the token's largest component. A round makes no more pairs than there are rows,
-and joins a crowd of near copies without trying all its pairs. What is left are
-tokens whose groups hold different components: those outside the largest one are
-paired with all of it, group pairs pass the size and position bounds, and only
-then are members expanded and verified. Pairs inside one component need no trial,
-as only components are reported; no link between different components is lost.
+and joins a crowd of near copies without trying all its pairs.
+
+What is left are tokens whose groups hold different components. Two sets alone with
+a token are tried. Where there are more, of like size, members are expanded and written as differences from the token's leader L: what a set has
+beyond L, then what it lacks of L. Two sets differ by as much as their differences
+do, so a link must be seen in a prefix join of the differences, where what all
+copies share is gone and what a copy has of its own comes first; pairs pass the
+size and position bounds and are verified on the sets. Two sets so near L that
+their differences need not meet are both linked with L itself. Pairs inside one
+component need no trial, as only components are reported; no link between
+different components is lost.
 
 Defined results: null text or text without words has an empty set, links with
 nothing and is its own component; a null doc_id has a null component. Repeated
@@ -28,7 +34,7 @@ rows and equal texts share a set. Columns besides doc_id and text are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks
-from .blocks import meet, mix, names, question, read_answer
+from .blocks import meet, mix, question, read_answer, word_names
 from .common import checkpoint, fresh, scratch, slices, text_buffer
 from .components import components
 
@@ -48,7 +54,9 @@ COMMON, COMMON_IN_SLICE = 1 << 17, 4
 #: Tokens asked for beyond the prefix, in per cent of a set. A set with fewer shared tokens than that can't link and goes no further.
 SURE = 10
 #: Rounds in which each token's groups are tried against one leader.
-LEADERS = 3
+LEADERS = 2
+#: Sets that a leader has at most if they are tried inside the join.
+FEW = 64
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -78,10 +86,10 @@ def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def shingle_sets(data: np.ndarray, at: np.ndarray, n_words: int) -> list[np.ndarray]:
     """The sorted names of the distinct shingles of each text data[at[i]:at[i+1]]."""
     lower, start, size = words(data, at)
-    named = names(lower, start, size)
+    named = word_names(lower, start, size)
     bounds = np.searchsorted(start, at)
     rolled = np.zeros(len(named), np.uint64)
-    for k in range(n_words):
+    for k in range(min(n_words, len(named))):
         rolled[: len(named) - k] = rolled[: len(named) - k] * _STEP + named[k:]
     rolled = mix(rolled)
     out = []
@@ -98,9 +106,9 @@ def shingle_sets(data: np.ndarray, at: np.ndarray, n_words: int) -> list[np.ndar
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(s: np.ndarray) -> bytes:
+    """A 128-bit digest of a set, which stands for it."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 def needed(n: int, threshold: int) -> int:
@@ -126,7 +134,10 @@ class Order:
 
     def prefix(self, s: np.ndarray, threshold: int) -> np.ndarray:
         """The prefix that any linking set shares a token of, and SURE per cent of the set's tokens more."""
-        n = prefix_size(len(s), threshold) + sure(len(s)) - 1
+        return self.first(s, prefix_size(len(s), threshold) + sure(len(s)) - 1)
+
+    def first(self, s: np.ndarray, n: int) -> np.ndarray:
+        """The first n of the sorted names s."""
         if not len(self.sorted):
             return s[:n]
         at = np.minimum(np.searchsorted(self.sorted, s), len(self.sorted) - 1)
@@ -139,7 +150,7 @@ class Order:
 
 
 def _catalogue(rows: DataFrame, n_words: int) -> DataFrame:
-    """A row (block, doc_id, n, set_id) for each document and a row (name, count) for each shingle common in a slice."""
+    """A row (block, doc_id, n, id) for each document and a row (name, n) for each shingle common in a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -152,13 +163,22 @@ def _catalogue(rows: DataFrame, n_words: int) -> DataFrame:
                     pa.concat_arrays([part.column("block"), pa.nulls(m, pa.int32())]),
                     pa.concat_arrays([part.column("doc_id"), pa.nulls(m, pa.int64())]),
                     pa.array(np.concatenate([[len(s) for s in sets], count[often]]).astype(np.int64)),
-                    pa.array(np.concatenate([np.array([set_id(s) for s in sets], np.int64), seen[often].view(np.int64)])),
-                    pa.array(np.arange(k + m) >= k),
+                    pa.array([set_id(s) for s in sets] + [None] * m, pa.binary()),
+                    pa.concat_arrays([pa.nulls(k, pa.int64()), pa.array(seen[often].view(np.int64))]),
                 ],
-                ["block", "doc_id", "n", "id", "common"],
+                ["block", "doc_id", "n", "id", "name"],
             )
 
-    return rows.mapInArrow(run, "block int, doc_id long, n long, id long, common boolean")
+    return rows.mapInArrow(run, "block int, doc_id long, n long, id binary, name long")
+
+
+def _shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which of the sorted names p are in q."""
+    return q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p
+
+
+def _alike(n: int, m: int, same: int, threshold: int) -> bool:
+    return 100 * same >= threshold * (n + m - same)
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -170,15 +190,79 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                same = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
-                good.append(100 * same >= threshold * (len(p) + len(q) - same))
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
+                p, q = sorted((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)), key=len)
+                good.append(_alike(len(p), len(q), int(_shared(p, q).sum()), threshold))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a binary, b binary")
+
+
+def most_apart(n: int, m: int, threshold: int) -> int:
+    """The most tokens in which two sets of n and m that link differ."""
+    return (100 - threshold) * (n + m) // (100 + threshold)
+
+
+def _differences(led: DataFrame, sets: DataFrame, order: Callable[[], "Order"], threshold: int) -> DataFrame:
+    """For each (id, leader): n, whether the two link, how many tokens they differ in, and the first of these.
+
+    Any order of tokens that holds for all sets of a leader will do. What a set
+    has beyond the leader comes first, as few other sets have it.
+    """
+    left = sets.select("id", "set")
+    right = sets.select(F.col("id").alias("leader"), F.col("set").alias("lead"))
+    both = led.join(right, "leader").join(left, "id").select("id", "leader", "set", "lead")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = order()
+        for batch in batches:
+            sizes, linked, apart, tokens = [], [], [], []
+            for x, y in zip(batch.column("set"), batch.column("lead"), strict=True):
+                s, lead = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                more, less = s[~_shared(s, lead)], lead[~_shared(lead, s)]
+                sizes.append(len(s))
+                linked.append(_alike(len(s), len(lead), len(s) - len(more), threshold))
+                apart.append(len(more) + len(less))
+                n = most_apart(len(s), 100 * len(s) // threshold, threshold) + 1
+                tokens.append(np.concatenate([own.first(more, n), own.first(less, n)])[:n].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("leader"), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(apart, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "leader", "n", "linked", "apart", "tokens"])
+
+    return both.mapInArrow(run, "id binary, leader binary, n long, linked boolean, apart long, tokens array<long>")
+
+
+def _near(differences: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of sets of different components whose differences from one leader may be near enough for a link.
+
+    A leader of at most FEW sets tries each of those outside its largest
+    component on the others inside the join, where differences must be about as
+    large and share a token of their prefixes; of more sets, only those meet that
+    have such a token.
+    """
+    # Of sets of n and m that are apart and o_apart from a leader, a link holds (slack + o_slack) / 2 / (100 + threshold) tokens of both differences.
+    slack = (100 + threshold) * F.col("apart") - (100 - threshold) * F.col("n")
+    placed = differences.join(members.select("id", "comp"), "id").withColumn("slack", slack)
+    sizes = placed.groupBy("leader", "comp").agg(F.min("slack").alias("least"), F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("leader").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("m"), F.sum("k").alias("all"), F.min("least").alias("least")).where("comps > 1").select("leader", F.col("m.comp").alias("main"), "all", "least")
+    odd_least = sizes.join(main.select("leader", "main"), "leader").where("comp <> main").groupBy("leader").agg(F.min("least").alias("o_least"))
+    mixed = placed.join(main.withColumnRenamed("least", "any_least").join(odd_least, "leader"), "leader").withColumn("odd", F.col("comp") != F.col("main"))
+    shared = F.ceil((F.col("slack") + F.when(F.col("odd"), F.col("any_least")).otherwise(F.col("o_least"))) / (2 * (100 + threshold)))
+    first = F.least(F.col("apart") - shared + 1, F.size("tokens")).cast("int")
+    mixed.withColumn("first", first).where("first > 0").select("leader", "id", "n", "apart", "comp", "odd", F.slice("tokens", F.lit(1), F.col("first")).alias("tokens"), (F.col("all") <= FEW).alias("few")).write.option("compression", "zstd").parquet(path := scratch(differences.sparkSession, "shingle-mixed"))
+    rows = differences.sparkSession.read.parquet(path)
+
+    def other(df: DataFrame, *columns: str) -> DataFrame:
+        return df.where("odd").select("leader", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "apart", "comp")], *columns)
+
+    size = F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * threshold
+    may = (F.col("comp") != F.col("o_comp")) & (~F.col("odd") | (F.col("id") < F.col("o_id"))) & size
+    few, many = rows.where("few"), rows.where("not few").select("leader", "id", "n", "apart", "comp", "odd", F.posexplode("tokens").alias("place", "token"))
+    alike = F.abs(F.col("apart") - F.col("o_apart")) * (100 + threshold) <= (F.col("n") + F.col("o_n")) * (100 - threshold)
+    one = few.join(other(few, F.col("tokens").alias("o_tokens")), "leader").where(may & alike & F.arrays_overlap("tokens", "o_tokens"))
+    most = F.least(F.col("apart") - F.col("place"), F.col("o_apart") - F.col("o_place"))
+    meets = (2 * most - F.col("apart") - F.col("o_apart")) * (100 + threshold) + (F.col("n") + F.col("o_n")) * (100 - threshold) >= 0
+    two = many.join(other(many, F.col("place").alias("o_place"), "token"), ["leader", "token"]).where(may & meets)
+    pair = (F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
+    return one.select(*pair).unionByName(two.select(*pair)).distinct()
 
 
 def _may_link(n1: str, p1: str, n2: str, p2: str, threshold: int) -> F.Column:
@@ -216,14 +300,14 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRE
     rows, total = blocks.sized(docs)
     _catalogue(rows, n_words).write.parquet(path := scratch(spark, "shingle-catalogue"))
     catalogue = spark.read.parquet(path)
-    listed = catalogue.where("common").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "id").limit(COMMON).toArrow()
-    common = np.array(listed.column("id").to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
-    documents = catalogue.where("not common").select("block", "doc_id", "n", "id")
+    listed = catalogue.where("name is not null").groupBy("name").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name").limit(COMMON).toArrow()
+    common = np.array(listed.column("name").to_numpy(zero_copy_only=False), np.int64).view(np.uint64)
+    documents = catalogue.where("name is null").select("block", "doc_id", "n", "id")
     groups = documents.where("n > 0 and doc_id is not null").groupBy("id").agg(F.min("doc_id").alias("first_id"), F.min("block").alias("block"), F.min("n").alias("n"))
     sent = spark.sparkContext.broadcast(common)  # at most COMMON names
     buckets = max(1, -(-(total // 20) // blocks.BUCKET_NAMES))  # a token asked for in some 20 bytes
 
-    def held(part: pa.Table, told: pa.Table) -> list[tuple[int, np.ndarray]]:
+    def held(part: pa.Table, told: pa.Table) -> list[tuple[bytes, np.ndarray]]:
         """The sets of the groups that this block speaks for."""
         ours = set(told.column("id").to_pylist()) - {None}
         sets = {}
@@ -262,12 +346,12 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRE
                     sets.append(s.tobytes())
                     tokens.append(p[live].view(np.int64))
                     places.append(live)
-        return pa.table([pa.array(ids, pa.int64()), pa.array(kin, pa.int64()), pa.array(sizes, pa.int64()), pa.array(central_, pa.float64()), pa.array(sets, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], ["id", "kin", "n", "central", "set", "tokens", "places"])
+        return pa.table([pa.array(ids, pa.binary()), pa.array(kin, pa.binary()), pa.array(sizes, pa.int64()), pa.array(central_, pa.float64()), pa.array(sets, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], ["id", "kin", "n", "central", "set", "tokens", "places"])
 
     speakers = groups.select("block", "id")
     told = blocks.answers(meet(rows, speakers, ask, blocks.MESSAGE))
-    both = told.withColumn("id", F.lit(None).cast("long")).unionByName(speakers.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("payload"), "id"))
-    meet(rows, both, survivors, "id long, kin long, n long, central double, set binary, tokens array<long>, places array<long>").write.option("compression", "zstd").parquet(path := scratch(spark, "shingle-sets"))
+    both = told.withColumn("id", F.lit(None).cast("binary")).unionByName(speakers.select("block", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("payload"), "id"))
+    meet(rows, both, survivors, "id binary, kin binary, n long, central double, set binary, tokens array<long>, places array<long>").write.option("compression", "zstd").parquet(path := scratch(spark, "shingle-sets"))
     sets = spark.read.parquet(path)
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)))
@@ -283,7 +367,7 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRE
         able = rows_
         if nth:
             able = rows_.join(_largest(rows_), "token").where("comp <> main")
-        leader = able.groupBy("token", "band").agg(F.max_by(F.struct("id", "n", "place", "comp"), F.struct("central", -F.col("id"))).alias("l")).select("token", "band", F.col("l.id").alias("l_id"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place"), F.col("l.comp").alias("l_comp"))
+        leader = able.groupBy("token", "band").agg(F.max_by(F.struct("id", "n", "place", "comp"), F.struct("central", "id")).alias("l")).select("token", "band", F.col("l.id").alias("l_id"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place"), F.col("l.comp").alias("l_comp"))
         star = rows_.join(leader, ["token", "band"]).where((F.col("comp") != F.col("l_comp")) & _may_link("n", "place", "l_n", "l_place", threshold)).select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b"))
         if not nth:
             star = star.unionByName(inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
@@ -297,14 +381,20 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRE
         if not changed:
             break
         members = sets.select("id", "kin").join(joined.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", "kin", F.coalesce("comp", "id").alias("comp"))
-    placed = tokens.drop("id", "band", "central").join(members.select("kin", "comp").distinct(), "kin")
+    placed = tokens.drop("id").join(members.groupBy("kin", "comp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")), "kin")
     mixed = placed.join(_largest(placed), "token")
-    odd = mixed.where("comp <> main").select("token", F.col("kin").alias("o_kin"), F.col("n").alias("o_n"), F.col("place").alias("o_place"), F.col("comp").alias("o_comp"))
-    pairs = odd.join(mixed, "token").where(((F.col("comp") == F.col("main")) | (F.col("comp") < F.col("o_comp"))) & (F.col("comp") != F.col("o_comp")) & _may_link("n", "place", "o_n", "o_place", threshold)).select("kin", "comp", "o_kin", "o_comp").distinct()
-    one = members.select(F.col("id").alias("x"), "kin", "comp")
-    two = members.select(F.col("id").alias("y"), F.col("kin").alias("o_kin"), F.col("comp").alias("o_comp"))
-    rest = pairs.join(one, ["kin", "comp"]).join(two, ["o_kin", "o_comp"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    joined, _ = _merged(joined, _linked(rest.join(tried, ["a", "b"], "left_anti"), sets, threshold))
+    # Sets of sizes near enough for a link are in one band or in neighbours, so they meet in one of two keys.
+    keyed = mixed.withColumn("key", F.col("band")).unionByName(mixed.withColumn("key", F.col("band") + 1))
+    ends = F.struct("id", "n", "place")
+    met = keyed.groupBy("token", "key").agg(F.sum("m").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("o_c"), F.min(ends).alias("x"), F.max(ends).alias("y"), F.max_by("id", F.struct("central", "id")).alias("leader")).where("c <> o_c")
+    two = met.where("m = 2").select("x.id", "x.n", "x.place", F.col("y.id").alias("o_id"), F.col("y.n").alias("o_n"), F.col("y.place").alias("o_place"))
+    two = two.where(_may_link("n", "place", "o_n", "o_place", threshold)).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+    led = keyed.join(met.where("m > 2").select("token", "key", "leader"), ["token", "key"]).select("kin", "comp", "leader").distinct().join(members, ["kin", "comp"]).where("id <> leader").select("id", "leader")
+    _differences(led, sets, lambda: Order(sent.value), threshold).write.option("compression", "zstd").parquet(path := scratch(spark, "shingle-differences"))
+    differences = spark.read.parquet(path)
+    beside = differences.where("linked").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
+    near = _near(differences, members, threshold).unionByName(two).distinct().join(tried, ["a", "b"], "left_anti")
+    joined, _ = _merged(joined, _linked(near, sets, threshold).unionByName(beside))
     final = groups.select("id", "first_id", F.col("id").alias("comp"))
     if joined is not None:
         final = groups.select("id", "first_id").join(joined.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", "first_id", F.coalesce("comp", "id").alias("comp"))

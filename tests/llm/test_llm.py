@@ -344,6 +344,63 @@ def test_shingles(spark, monkeypatch, n, threshold, seed):
     assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_components(rows, n, threshold)
 
 
+def thue_morse(order: int, pair: str) -> list[str]:
+    """A word and its complement that differ everywhere and share every polynomial modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(1 << order)]
+    return ["".join(pair[b] for b in bits), "".join(pair[1 - b] for b in bits)]
+
+
+def test_structured_words_have_own_names(spark):
+    rows = [(i + 1, w) for i, w in enumerate([*thue_morse(10, "ab"), *thue_morse(6, "ab"), *thue_morse(5, "xy")])]
+    got = as_dict(shingle_join.near_duplicates(make(spark, rows)))
+    assert {i: r.component_id for i, r in got.items()} == {i: i for i, _ in rows}
+
+
+def test_shingle_sets_of_few_words():
+    for n in (1, 2, 3, 4, 5):
+        for total in range(2 * n + 1):
+            for cut in range(total + 1):
+                parts = [" ".join(f"w{i}" for i in range(cut)), "", " ".join(f"w{i}" for i in range(cut, total))]
+                raw = [p.encode() for p in parts]
+                at = np.cumsum([0, *map(len, raw)])
+                sets = shingle_join.shingle_sets(np.frombuffer(b"".join(raw), np.uint8), at, n)
+                assert [len(x) for x in sets] == [0 if not k else max(1, k - n + 1) for k in (cut, 0, total - cut)]
+
+
+@pytest.mark.parametrize("rows", [[(1, "hello world")], [(1, "one"), (2, "two")], [(1, "a b c"), (2, "a b c")], [*((i, f"w{i} " * 3) for i in range(10_000)), (10_000, "last one")]])
+def test_shingles_of_short_tables(spark, rows):
+    got = shingle_join.near_duplicates(make(spark, rows, extra=False).coalesce(1))
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == (brute_components(rows, 4, 85) if len(rows) < 100 else collections.Counter((i, 1, i) for i, _ in rows))
+
+
+def crowd(rng, n_copies, n_words, edits):
+    """Altered copies of one text, many of them just beyond the threshold, some altered again."""
+    base = [f"b{i}" for i in range(n_words)]
+    texts = []
+    for k in range(n_copies):
+        w = list(base if k % 3 or not texts else rng.choice(texts))
+        for j in range(rng.choice(edits)):
+            at = rng.randrange(len(w))
+            w[at : at + 1] = rng.choice([[f"n{k}_{j}"], [], [w[at], f"m{k}_{j}"]])
+        texts.append(w)
+    return [" ".join(w) for w in texts]
+
+
+@pytest.mark.parametrize(("n", "threshold", "leaders", "few"), [(4, 85, 2, 64), (5, 80, 1, 5), (4, 85, 1, 0)])
+def test_shingles_of_crowds(spark, monkeypatch, n, threshold, leaders, few):
+    monkeypatch.setattr(shingle_join, "LEADERS", leaders)
+    monkeypatch.setattr(shingle_join, "FEW", few)
+    rng, rows = random.Random(n + leaders), []
+    for size in (40, 90, 200):
+        rows += [(len(rows) + i, t) for i, t in enumerate(crowd(rng, 60, size, (0, size // 60, size // 40, size // 30, size // 25, size // 20)))]
+    rows += [(len(rows) + i, " ".join(f"u{i}_{j}" for j in range(9)) + " " + " ".join(f"b{j}" for j in range(40))) for i in range(20)]
+    rng.shuffle(rows)
+    got = shingle_join.near_duplicates(make(spark, rows, extra=False), n, threshold)
+    want = brute_components(rows, n, threshold)
+    assert collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == want
+    assert 3 < len({c for _, _, c in want}) < len(rows)
+
+
 def test_shingles_without_links(spark):
     rows = [(1, "a b c d e"), (2, "f g h i j"), (3, None)]
     got = as_dict(shingle_join.near_duplicates(make(spark, rows)))
