@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts
+from .common import ids_and_texts, release
 
 BLOCK_BYTES = 4 << 20
 #: Names that a bucket holds, about.
@@ -114,7 +114,9 @@ def ask(blocks: DataFrame, fn: Callable[[pa.Table], pa.Table]) -> DataFrame:
 def meet(blocks: DataFrame, told: DataFrame, fn: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """fn(rows of a block, messages to it), for blocks that have rows."""
     def run(rows: pa.Table, got: pa.Table) -> pa.Table:
-        return fn(ordered(rows), got)
+        out = fn(ordered(rows), got)
+        release()
+        return out
 
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ids_and_texts, slices
+from .common import ids_and_texts, slices, tidy
 
 #: Unicode White_Space, as the tokenizer's own pattern engine reads \s.
 WHITE = r"\t-\r \x85\xa0  -     　"
@@ -185,7 +185,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [np.frombuffer(own.encode(x), "<u4").astype(np.int32) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+    return ids_and_texts(docs).mapInArrow(tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -197,7 +197,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             texts = [own.decode(np.array(x or [], "<u4").tobytes()).decode(errors="replace") for x in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id long, text string")
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
@@ -217,4 +217,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, with_ids: bool = False)
             columns = [part.column("doc_id"), pa.array(n, pa.int64()), pa.array(made, pa.string()), pa.array(back, pa.string())]
             yield pa.RecordBatch.from_arrays([*columns, *[pa.array(kept, pa.list_(pa.int32()))] * with_ids], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return ids_and_texts(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

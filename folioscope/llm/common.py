@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -28,10 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, in local mode) one beside the warehouse."""
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = "file://" + os.path.join(tempfile.gettempdir(), "folioscope-shared")
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = os.path.join(spark.conf.get("spark.sql.warehouse.dir").rstrip("/"), "folioscope-scratch")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -90,6 +93,23 @@ def slices(batches: Iterable[pa.RecordBatch], most_bytes: int = 4 << 20, column:
             start = end
 
 
+def release() -> None:
+    """Gives memory that is free again back to the system: workers are reused, and what one stage leaves idle is missing in the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, with its memory given back at the end of the partition."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return own
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """fn over slices of bounded size, in one pass and without a shuffle."""
 
@@ -97,7 +117,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
         for part in slices(batches):
             yield fn(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def remainder(column: str, by: int) -> "F.Column":

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ids_and_texts, slices
+from .common import ids_and_texts, slices, tidy
 
 #: Edits allowed for each character of an item.
 ERROR_SHARE = 0.06
@@ -153,7 +153,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, error_share: float = ERROR_SHAR
                 columns = list(zip(*rows, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "distance", "errors_allowed"])
 
-        found = ids_and_texts(docs).mapInArrow(run, schema)
+        found = ids_and_texts(docs).mapInArrow(tidy(run), schema)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -168,5 +168,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, error_share: float = ER
                 clean = pa.array([not own.matches(normalise(x)) for x in part.column("text").to_pylist()], pa.bool_())
                 yield part.filter(clean)
 
-        docs = docs.mapInArrow(run, StructType(list(docs.schema.fields)))
+        docs = docs.mapInArrow(tidy(run), StructType(list(docs.schema.fields)))
     return docs

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, ids_and_texts, slices, text_buffer
+from .common import fresh, ids_and_texts, scratch, slices, text_buffer, tidy
 
 PRIME = (1 << 31) - 1
 RADICES = (1_103_515_245, 747_796_405)
@@ -34,6 +34,8 @@ HASH_CHUNK = 1 << 16
 COMPARE_CHUNK = 1 << 20
 #: Members of a group that are compared with one copy of its largest document.
 MEMBERS_PER_COPY = 512
+#: A group with more than one HOTth of all rows is joined by broadcast; there are fewer than HOT of these.
+HOT = 1000
 
 
 def _powers(radix: int, n: int) -> np.ndarray:
@@ -99,7 +101,7 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
             digests = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array((fp[:, 0] << 31) | fp[:, 1]), pa.array(fp[:, 2]), pa.array(digests, pa.string())], ["doc_id", "fp", "n_bytes", "text_sha256"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, fp long, n_bytes long, text_sha256 string")
+    return ids_and_texts(docs).mapInArrow(tidy(run), "doc_id long, fp long, n_bytes long, text_sha256 string")
 
 
 def _chunks(rows: DataFrame) -> DataFrame:
@@ -130,19 +132,48 @@ def differing(docs: DataFrame, members: DataFrame) -> DataFrame:
     return same.where(~F.coalesce(F.col("chunk") == F.col("k_chunk"), F.lit(False))).select(F.col("m_id").alias("d_id"), F.col("text_sha256").alias("d_sha")).distinct()
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    spark = df.sparkSession
+    df.write.option("compression", "zstd").parquet(path := scratch(spark, name))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _attach(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how: str) -> DataFrame:
+    """rows joined with their groups by keys, which are never null. Groups of over a thousandth of all rows, at most HOT of them, are broadcast."""
+    hot = F.col("group_size") * HOT > total
+    few = F.broadcast(groups.where(hot))
+    rest = rows.join(few.select(*keys), keys, "left_anti").join(groups.where(~hot), keys, how)
+    return rows.join(few, keys).unionByName(rest)
+
+
+def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    top = F.max(F.struct("doc_id", "text_sha256"))
+    return rows.groupBy(*keys).agg(top.alias("top"), F.count(F.lit(1)).alias("group_size")).select(*keys, F.col("top.doc_id").alias("keep_id"), F.col("top.text_sha256").alias("keep_sha256"), "group_size")
+
+
+def _classes(docs: DataFrame) -> tuple[DataFrame, list[str], int]:
+    """The fingerprint rows, the columns by which equal texts are equal, and the number of rows.
+
+    Fingerprints are computed once and written. Where the comparison finds that
+    members of a group differ, these are also told apart by their digest.
+    """
+    rows = _written(fingerprint_rows(docs), "fingerprints")
+    total = rows.count()
+    keys = ["fp", "n_bytes"]
+    groups = _written(_grouped(rows, keys).where("group_size > 1"), "fingerprint-groups")
+    members = _attach(rows, groups, keys, total, "inner")
+    off = _written(differing(docs, members.select(F.col("doc_id").alias("m_id"), "text_sha256", "keep_id", "keep_sha256", "group_size")), "fingerprint-collisions")
+    if off.isEmpty():
+        return rows, keys, total
+    classed = rows.join(off, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_sha256") == F.col("d_sha")), "left")
+    return classed.select(*rows.columns, F.coalesce("d_sha", F.lit("")).alias("class")), [*keys, "class"], total
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
-    rows = fingerprint_rows(docs)
-    largest = F.max(F.struct(F.col("doc_id"), F.col("text_sha256")))
-    groups = rows.groupBy("fp", "n_bytes").agg(largest.alias("top"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-    groups = groups.select(F.col("fp").alias("g_fp"), F.col("n_bytes").alias("g_n"), F.col("top.doc_id").alias("keep_id"), F.col("top.text_sha256").alias("keep_sha256"), "group_size")
-    members = rows.join(groups, (F.col("fp") == F.col("g_fp")) & (F.col("n_bytes") == F.col("g_n")))
-    off = differing(docs, members.select(F.col("doc_id").alias("m_id"), "text_sha256", "keep_id", "keep_sha256", "group_size"))
-    # A colliding member joins the group of its digest; the rest stay with the fingerprint alone.
-    classed = rows.join(off, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_sha256") == F.col("d_sha")), "left").withColumn("class", F.coalesce(F.col("d_sha"), F.lit("")))
-    final = classed.groupBy("fp", "n_bytes", "class").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    final = final.select(F.col("fp").alias("f_fp"), F.col("n_bytes").alias("f_n"), F.col("class").alias("f_class"), "keep_id", "group_size")
-    out = classed.join(final, (F.col("fp") == F.col("f_fp")) & (F.col("n_bytes") == F.col("f_n")) & (F.col("class") == F.col("f_class")))
+    rows, keys, total = _classes(docs)
+    out = _attach(rows, _grouped(rows, keys).where("group_size > 1"), keys, total, "left")
+    out = out.withColumn("keep_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))).withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
     nth = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("n_bytes"))
     return out.withColumn("nth", nth).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"), "text_sha256")
 
@@ -150,9 +181,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs without the rows that exact_groups doesn't keep; all columns stay."""
     own, sha = fresh(docs, "own_id", "own_sha")
-    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))  # never null, so join and dropDuplicates share one shuffle
-    kept = exact_groups(docs).where("kept").select(key.alias(own), F.col("text_sha256").alias(sha))
-    marked = docs.withColumn(own, key).withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    key = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("null"))  # noqa: E731  never null, so join and dropDuplicates share one shuffle
+    rows, keys, _ = _classes(docs)
+    kept = _grouped(rows, keys).select(key(F.col("keep_id")).alias(own), F.col("keep_sha256").alias(sha))
+    marked = docs.withColumn(own, key(F.col("doc_id"))).withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
     return marked.join(kept, [own, sha]).dropDuplicates([own, sha]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

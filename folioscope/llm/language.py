@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, remainder, slices
+from .common import ids_and_texts, remainder, slices, tidy
 
 DIMENSIONS = 1 << 12
 ORDERS = (1, 2, 3, 4)
@@ -202,7 +202,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             got = [own.predict(x) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([a for a, _ in got], pa.string()), pa.array([b for _, b in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return ids_and_texts(docs).mapInArrow(tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:

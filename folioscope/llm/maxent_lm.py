@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import MESSAGE, bucket_bounds, meet, messages, mix, word_names
-from .common import ids_and_texts, scratch, slices, text_buffer
+from .common import ids_and_texts, scratch, slices, text_buffer, tidy
 from .shingle_join import words
 
 CLASSES = 64
@@ -291,7 +291,7 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, share: float =
             whole = sum(np.frombuffer(x, np.float32).astype(np.float64) * k for x, k in zip(rows.column("weights").to_pylist(), n, strict=True)) / sum(n)
             return pa.table([pa.array([rows.column("part")[0].as_py()], pa.int32()), pa.array([whole.astype(np.float32).tobytes()], pa.binary())], ["part", "weights"])
 
-        got = rows.mapInArrow(learn, "part int, n long, weights binary").groupBy("part").applyInArrow(mean, "part int, weights binary").toArrow().sort_by("part")
+        got = rows.mapInArrow(tidy(learn), "part int, n long, weights binary").groupBy("part").applyInArrow(mean, "part int, weights binary").toArrow().sort_by("part")
         if got.num_rows:
             flat = np.concatenate([np.frombuffer(x, np.float32) for x in got.column("weights").to_pylist()])
         sent.unpersist()

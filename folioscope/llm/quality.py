@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ids_and_texts, remainder, slices, text_buffer
+from .common import ids_and_texts, remainder, slices, text_buffer, tidy
 
 #: Bytes of a piece: short enough that the dictionary, not the piece's own repeats, decides its size.
 PIECE = 1024
@@ -154,7 +154,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores = own.probabilities([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, score double")
+    return ids_and_texts(docs).mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
@@ -168,7 +168,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
             scores = own.probabilities([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)])
             yield part.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)))
+    return docs.mapInArrow(tidy(run), StructType(list(docs.schema.fields)))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

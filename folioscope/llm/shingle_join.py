@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import meet, mix, question, read_answer, word_names
-from .common import checkpoint, fresh, scratch, slices, text_buffer
+from .common import checkpoint, fresh, scratch, slices, text_buffer, tidy
 from .components import components
 
 WORDS = 4
@@ -169,7 +169,7 @@ def _catalogue(rows: DataFrame, n_words: int) -> DataFrame:
                 ["block", "doc_id", "n", "id", "name"],
             )
 
-    return rows.mapInArrow(run, "block int, doc_id long, n long, id binary, name long")
+    return rows.mapInArrow(tidy(run), "block int, doc_id long, n long, id binary, name long")
 
 
 def _shared(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -195,7 +195,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
                 good.append(_alike(len(p), len(q), int(_shared(p, q).sum()), threshold))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(tidy(run), "a binary, b binary")
 
 
 def most_apart(n: int, m: int, threshold: int) -> int:
@@ -227,7 +227,7 @@ def _differences(led: DataFrame, sets: DataFrame, order: Callable[[], "Order"],
                 tokens.append(np.concatenate([own.first(more, n), own.first(less, n)])[:n].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("leader"), pa.array(sizes, pa.int64()), pa.array(linked, pa.bool_()), pa.array(apart, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "leader", "n", "linked", "apart", "tokens"])
 
-    return both.mapInArrow(run, "id binary, leader binary, n long, linked boolean, apart long, tokens array<long>")
+    return both.mapInArrow(tidy(run), "id binary, leader binary, n long, linked boolean, apart long, tokens array<long>")
 
 
 def _near(differences: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
