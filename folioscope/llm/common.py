@@ -51,6 +51,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of the shared folder: later steps read it, and it survives the loss of any executor."""
+    df.write.option("compression", "zstd").parquet(path := scratch(df.sparkSession, name))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ids_and_texts(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever else the table holds; null text is empty text."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

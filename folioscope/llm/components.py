@@ -21,11 +21,8 @@ def components(links: DataFrame) -> DataFrame | None:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hook = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("p"))
         hook = checkpoint(hook.join(hook.select(F.col("a").alias("p"), F.col("p").alias("pp")), "p").select("a", F.col("pp").alias("p")))
-        if whole is None:
-            whole = hook.select(F.col("a").alias("node"), F.col("p").alias("comp"))
-        else:
-            whole = checkpoint(whole.join(hook, F.col("comp") == F.col("a"), "left").select("node", F.coalesce("p", "comp").alias("comp")))
+        whole = hook.select(F.col("a").alias("node"), F.col("p").alias("comp")) if whole is None else whole.join(hook, F.col("comp") == F.col("a"), "left").select("node", F.coalesce("p", "comp").alias("comp"))
         left = hook.select("a", F.col("p").alias("pa"))
         right = hook.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         edges = checkpoint(edges.join(left, "a").join(right, "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a <> b").distinct())
-    return whole
+    return whole if whole is None else checkpoint(whole)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, ids_and_texts, scratch, slices, text_buffer, tidy
+from .common import fresh, ids_and_texts, slices, text_buffer, tidy, written
 
 PRIME = (1 << 31) - 1
 RADICES = (1_103_515_245, 747_796_405)
@@ -132,12 +132,6 @@ def differing(docs: DataFrame, members: DataFrame) -> DataFrame:
     return same.where(~F.coalesce(F.col("chunk") == F.col("k_chunk"), F.lit(False))).select(F.col("m_id").alias("d_id"), F.col("text_sha256").alias("d_sha")).distinct()
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    spark = df.sparkSession
-    df.write.option("compression", "zstd").parquet(path := scratch(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _attach(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, how: str) -> DataFrame:
     """rows joined with their groups by keys, which are never null. Groups of over a thousandth of all rows, at most HOT of them, are broadcast."""
     hot = F.col("group_size") * HOT > total
@@ -157,12 +151,12 @@ def _classes(docs: DataFrame) -> tuple[DataFrame, list[str], int]:
     Fingerprints are computed once and written. Where the comparison finds that
     members of a group differ, these are also told apart by their digest.
     """
-    rows = _written(fingerprint_rows(docs), "fingerprints")
+    rows = written(fingerprint_rows(docs), "fingerprints")
     total = rows.count()
     keys = ["fp", "n_bytes"]
-    groups = _written(_grouped(rows, keys).where("group_size > 1"), "fingerprint-groups")
+    groups = written(_grouped(rows, keys).where("group_size > 1"), "fingerprint-groups")
     members = _attach(rows, groups, keys, total, "inner")
-    off = _written(differing(docs, members.select(F.col("doc_id").alias("m_id"), "text_sha256", "keep_id", "keep_sha256", "group_size")), "fingerprint-collisions")
+    off = written(differing(docs, members.select(F.col("doc_id").alias("m_id"), "text_sha256", "keep_id", "keep_sha256", "group_size")), "fingerprint-collisions")
     if off.isEmpty():
         return rows, keys, total
     classed = rows.join(off, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("text_sha256") == F.col("d_sha")), "left")

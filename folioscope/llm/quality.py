@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ids_and_texts, remainder, slices, text_buffer, tidy
+from .common import ids_and_texts, release, remainder, slices, text_buffer, tidy
 
 #: Bytes of a piece: short enough that the dictionary, not the piece's own repeats, decides its size.
 PIECE = 1024
@@ -140,7 +140,10 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     data, at = text_buffer(got.column("text"))
     raw = data.tobytes()
-    return fit([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.array(got.column("quality").to_pylist(), bool))
+    model = fit([raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.array(got.column("quality").to_pylist(), bool))
+    del got, data, raw
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

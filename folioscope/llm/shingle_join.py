@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import blocks
 from .blocks import meet, mix, question, read_answer, word_names
-from .common import checkpoint, fresh, scratch, slices, text_buffer, tidy
+from .common import fresh, scratch, slices, text_buffer, tidy, written
 from .components import components
 
 WORDS = 4
@@ -247,8 +247,8 @@ def _near(differences: DataFrame, members: DataFrame, threshold: int) -> DataFra
     mixed = placed.join(main.withColumnRenamed("least", "any_least").join(odd_least, "leader"), "leader").withColumn("odd", F.col("comp") != F.col("main"))
     shared = F.ceil((F.col("slack") + F.when(F.col("odd"), F.col("any_least")).otherwise(F.col("o_least"))) / (2 * (100 + threshold)))
     first = F.least(F.col("apart") - shared + 1, F.size("tokens")).cast("int")
-    mixed.withColumn("first", first).where("first > 0").select("leader", "id", "n", "apart", "comp", "odd", F.slice("tokens", F.lit(1), F.col("first")).alias("tokens"), (F.col("all") <= FEW).alias("few")).write.option("compression", "zstd").parquet(path := scratch(differences.sparkSession, "shingle-mixed"))
-    rows = differences.sparkSession.read.parquet(path)
+    mixed = mixed.withColumn("first", first).where("first > 0")
+    rows = written(mixed.select("leader", "id", "n", "apart", "comp", "odd", F.slice("tokens", F.lit(1), F.col("first")).alias("tokens"), (F.col("all") <= FEW).alias("few")), "shingle-mixed")
 
     def other(df: DataFrame, *columns: str) -> DataFrame:
         return df.where("odd").select("leader", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "apart", "comp")], *columns)
@@ -278,20 +278,16 @@ def _largest(placed: DataFrame) -> DataFrame:
     return sizes.groupBy("token").agg(F.count(F.lit(1)).alias("comps"), F.max(F.struct("k", "comp")).alias("m")).where("comps > 1").select("token", F.col("m.comp").alias("main"))
 
 
-def _merged(joined: DataFrame | None, links: DataFrame) -> tuple[DataFrame | None, bool]:
-    """Components (node, comp) after more links, and whether there were any."""
-    if joined is None:
-        more = components(links)
-        return more, more is not None
-    lift = lambda c: joined.select(F.col("node").alias(c), F.col("comp").alias(f"c{c}"))
-    links = links.join(lift("a"), "a", "left").join(lift("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+def _merged(members: DataFrame, links: DataFrame, first: bool) -> tuple[DataFrame, bool]:
+    """Members (id, kin, comp) after more links, and whether there were any. first: every component is one member still."""
+    if not first:
+        lift = lambda c: members.select(F.col("id").alias(c), F.col("comp").alias(f"c{c}"))
+        links = links.join(lift("a"), "a").join(lift("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     more = components(links)
     if more is None:
-        return joined, False
+        return members, False
     up = more.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
-    old = joined.join(up, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
-    new = more.join(joined.select("node"), "node", "left_anti").select("node", "comp")
-    return checkpoint(old.unionByName(new)), True
+    return written(members.join(up, "comp", "left").select("id", "kin", F.coalesce("top", "comp").alias("comp")), "shingle-members"), True
 
 
 def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
@@ -355,32 +351,27 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRE
     sets = spark.read.parquet(path)
 
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold)))
-    heads = sets.groupBy("kin").agg(F.min("id").alias("id"))
-    own = sets.select("id", "n", band.alias("band"), "central", "kin", "tokens", "places").join(heads.select("id"), "id", "left_semi")
-    tokens = own.select("id", "n", "band", "central", "kin", F.explode(F.arrays_zip("tokens", "places")).alias("t")).select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "id", "n", "band", "central", "kin")
-    inner = sets.select("kin", F.col("id").alias("b")).join(heads.select("kin", F.col("id").alias("a")), "kin").where("a <> b").select("a", "b")
-    tried, joined = None, None
-    members = sets.select("id", "kin", F.col("id").alias("comp"))
+    members = written(sets.select("id", "kin", F.col("id").alias("comp")), "shingle-members")
+    heads = members.groupBy("kin").agg(F.min("id").alias("head"))
+    own = sets.select("id", "n", band.alias("band"), "central", "kin", "tokens", "places").join(heads.select(F.col("head").alias("id")), "id", "left_semi")
+    exploded = own.select("id", "n", "band", "central", "kin", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
+    tokens = written(exploded.select(F.col("t.tokens").alias("token"), F.col("t.places").alias("place"), "id", "n", "band", "central", "kin"), "shingle-tokens")
+    tried = None
     for nth in range(LEADERS):
-        # Each group stands for each of its components once.
-        rows_ = tokens.drop("id").join(members.groupBy("kin", "comp").agg(F.min("id").alias("id")), "kin")
-        able = rows_
-        if nth:
-            able = rows_.join(_largest(rows_), "token").where("comp <> main")
+        # Heads stand for their groups at first, then each group for each of its components once.
+        rows_ = tokens.drop("id").join(members.groupBy("kin", "comp").agg(F.min("id").alias("id")), "kin") if nth else tokens.withColumn("comp", F.col("id"))
+        able = rows_.join(_largest(rows_), "token").where("comp <> main") if nth else rows_
         leader = able.groupBy("token", "band").agg(F.max_by(F.struct("id", "n", "place", "comp"), F.struct("central", "id")).alias("l")).select("token", "band", F.col("l.id").alias("l_id"), F.col("l.n").alias("l_n"), F.col("l.place").alias("l_place"), F.col("l.comp").alias("l_comp"))
         star = rows_.join(leader, ["token", "band"]).where((F.col("comp") != F.col("l_comp")) & _may_link("n", "place", "l_n", "l_place", threshold)).select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b"))
-        if not nth:
-            star = star.unionByName(inner.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
-        star = star.distinct()
-        if tried is not None:
-            star = star.join(tried, ["a", "b"], "left_anti")
-        star.write.parquet(path := scratch(spark, "shingle-pairs"))
-        star = spark.read.parquet(path)
+        if nth:
+            star = star.distinct().join(tried, ["a", "b"], "left_anti")
+        else:
+            star = star.unionByName(members.join(heads, "kin").where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))).distinct()
+        star = written(star, "shingle-pairs")
         tried = star if tried is None else tried.unionByName(star)
-        joined, changed = _merged(joined, _linked(star, sets, threshold))
+        members, changed = _merged(members, _linked(star, sets, threshold), not nth)
         if not changed:
             break
-        members = sets.select("id", "kin").join(joined.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", "kin", F.coalesce("comp", "id").alias("comp"))
     placed = tokens.drop("id").join(members.groupBy("kin", "comp").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("m")), "kin")
     mixed = placed.join(_largest(placed), "token")
     # Sets of sizes near enough for a link are in one band or in neighbours, so they meet in one of two keys.
@@ -390,14 +381,11 @@ def near_duplicates(docs: DataFrame, n_words: int = WORDS, threshold: int = THRE
     two = met.where("m = 2").select("x.id", "x.n", "x.place", F.col("y.id").alias("o_id"), F.col("y.n").alias("o_n"), F.col("y.place").alias("o_place"))
     two = two.where(_may_link("n", "place", "o_n", "o_place", threshold)).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
     led = keyed.join(met.where("m > 2").select("token", "key", "leader"), ["token", "key"]).select("kin", "comp", "leader").distinct().join(members, ["kin", "comp"]).where("id <> leader").select("id", "leader")
-    _differences(led, sets, lambda: Order(sent.value), threshold).write.option("compression", "zstd").parquet(path := scratch(spark, "shingle-differences"))
-    differences = spark.read.parquet(path)
+    differences = written(_differences(led, sets, lambda: Order(sent.value), threshold), "shingle-differences")
     beside = differences.where("linked").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     near = _near(differences, members, threshold).unionByName(two).distinct().join(tried, ["a", "b"], "left_anti")
-    joined, _ = _merged(joined, _linked(near, sets, threshold).unionByName(beside))
-    final = groups.select("id", "first_id", F.col("id").alias("comp"))
-    if joined is not None:
-        final = groups.select("id", "first_id").join(joined.select(F.col("node").alias("id"), "comp"), "id", "left").select("id", "first_id", F.coalesce("comp", "id").alias("comp"))
+    members, _ = _merged(members, _linked(near, sets, threshold).unionByName(beside), False)
+    final = groups.select("id", "first_id").join(members.select("id", "comp"), "id", "left").select("id", "first_id", F.coalesce("comp", "id").alias("comp"))
     label = final.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = final.join(label, "comp").select(F.col("id").alias("g_id"), "component_id")
     out = documents.join(named, (F.col("id") == F.col("g_id")) & (F.col("n") > 0) & F.col("doc_id").isNotNull(), "left")
