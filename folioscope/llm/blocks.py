@@ -53,13 +53,10 @@ def bucket_bounds(names: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
 
 
-def question(block: int, names: np.ndarray, buckets: int, flags: np.ndarray | None = None) -> list[tuple[int, int, int, bytes]]:
-    """Messages that carry sorted, distinct names (and a flag for each) to their buckets."""
+def question(block: int, names: np.ndarray, buckets: int) -> list[tuple[int, int, int, bytes]]:
+    """Messages that carry sorted, distinct names to their buckets."""
     at = bucket_bounds(names, buckets)
-    own = np.flatnonzero(np.diff(at)).tolist()
-    if flags is None:
-        return [(block, b, QUESTION, names[at[b] : at[b + 1]].tobytes()) for b in own]
-    return [(block, b, FLAGGED, names[at[b] : at[b + 1]].tobytes() + flags[at[b] : at[b + 1]].astype(np.uint8).tobytes()) for b in own]
+    return [(block, b, QUESTION, names[at[b] : at[b + 1]].tobytes()) for b in np.flatnonzero(np.diff(at)).tolist()]
 
 
 def _shared(rows: pa.Table) -> pa.Table:
@@ -121,12 +118,13 @@ def meet(blocks: DataFrame, told: DataFrame, fn: Callable[[pa.Table, pa.Table],
     return blocks.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, schema)
 
 
-# Names: polynomials over the ring of 64-bit integers, by prefix sums, with random byte values and a final mix.
+# Names: polynomials modulo the prime 2**31 - 1 in three radices, by prefix sums.
 
 _SEGMENT = 1 << 19
-_RADIX = 0x9E3779B97F4A7C15
+_PRIME = (1 << 31) - 1
+_RADICES = (1_220_703_125, 16_807, 630_360_016)  # generators of the prime's group
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_TABLES: dict[str, np.ndarray] = {}
+_TABLES: dict[int, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -138,19 +136,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _table(kind: str, n: int) -> np.ndarray:
-    if kind == "bytes":
-        if kind not in _TABLES:
-            _TABLES[kind] = np.random.default_rng(20_011).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        return _TABLES[kind]
-    have = _TABLES.get(kind)
+def _powers(radix: int, n: int) -> np.ndarray:
+    have = _TABLES.get(radix)
     if have is None or len(have) < n:
-        size = max(n, _SEGMENT + 4096)
-        radix = np.uint64(_RADIX if kind == "powers" else pow(_RADIX, -1, 1 << 64))
-        out = np.full(size, radix, np.uint64)
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-        _TABLES[kind] = have = out
+        have = np.ones(max(n, _SEGMENT + 4096), np.uint64)
+        done = 1
+        while done < len(have):
+            more = min(done, len(have) - done)
+            have[done : done + more] = have[:more] * np.uint64(pow(radix, done, _PRIME)) % np.uint64(_PRIME)
+            done += more
+        _TABLES[radix] = have
     return have
 
 
@@ -179,24 +174,66 @@ def word_names(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.nd
     return out
 
 
-def names(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int) -> np.ndarray:
-    """A 64-bit name of data[start:start+size] for each of the ascending starts; memory follows a segment, not the data."""
-    out = np.zeros(len(starts), np.uint64)
-    if not len(starts):
-        return out
+def names(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """A 31-bit and a 64-bit name of data[start:start+size] for each of the ascending starts; memory follows a segment, not the data.
+
+    Together they hold three hashes of 31 bits, each of which differs for two
+    strings of n bytes but for n of the 2**31 radices.
+    """
+    out = np.zeros((3, len(starts)), np.uint64)
     sizes = np.broadcast_to(np.asarray(sizes, np.int64), starts.shape)
-    values = _table("bytes", 256)
-    cuts = np.searchsorted(starts, np.arange(starts[0] // _SEGMENT, starts[-1] // _SEGMENT + 2) * _SEGMENT)
+    cuts = np.searchsorted(starts, np.arange(starts[0] // _SEGMENT, starts[-1] // _SEGMENT + 2) * _SEGMENT) if len(starts) else np.zeros(1, np.int64)
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         if i == j:
             continue
         lo = int(starts[i])
         hi = int((starts[i:j] + sizes[i:j]).max())
-        powers, back = _table("powers", hi - lo + 1), _table("inverse", hi - lo + 1)
+        values, a = data[lo:hi].astype(np.uint64) + np.uint64(1), starts[i:j] - lo
         sums = np.zeros(hi - lo + 1, np.uint64)
-        np.multiply(values[data[lo:hi]], powers[: hi - lo], out=sums[1:])
-        np.cumsum(sums, out=sums)
-        a = starts[i:j] - lo
-        out[i:j] = (sums[a + sizes[i:j]] - sums[a]) * back[a]
-    out ^= sizes.astype(np.uint64) * _MIX2
-    return mix(out)
+        for k, radix in enumerate(_RADICES):
+            # A value below 2**9 times a power below 2**31, summed over less than 2**23 bytes, stays below 2**63.
+            np.multiply(values, _powers(radix, hi - lo)[: hi - lo], out=sums[1:])
+            np.cumsum(sums, out=sums)
+            found = (sums[a + sizes[i:j]] - sums[a]) % np.uint64(_PRIME)
+            out[k, i:j] = found * _powers(pow(radix, -1, _PRIME), hi - lo)[a] % np.uint64(_PRIME)
+            sums[0] = 0
+    wide = (out[1] << np.uint64(31) | out[2]) << np.uint64(2) | (out[0] & np.uint64(3))
+    return out[0], mix(wide ^ (sizes.astype(np.uint64) * _MIX2))
+
+
+class Asked:
+    """Distinct names by bucket. The bucket comes from the 31-bit name and the message holds the 64-bit one.
+
+    What tells strings apart so grows with the number of buckets, which follows
+    the input: a name meets about BUCKET_NAMES others, whatever the input.
+    """
+
+    def __init__(self, named: tuple[np.ndarray, np.ndarray], buckets: int) -> None:
+        bucket, name = (named[0] * np.uint64(buckets) >> np.uint64(31)).astype(np.int64), named[1]
+        order = np.argsort(name)
+        if buckets > 1:
+            order = order[np.argsort(bucket[order].astype(np.uint16 if buckets < 1 << 16 else np.int64), kind="stable")]
+        bucket, name = bucket[order], name[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1])
+        self.distinct = name[new]
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        self.buckets, first = np.unique(bucket[new], return_index=True)
+        self.at = np.append(first, len(self.distinct))
+
+    def question(self, block: int, flags: np.ndarray | None = None) -> list[tuple[int, int, int, bytes]]:
+        """Messages that carry the names (and a flag for each) to their buckets."""
+        kind = QUESTION if flags is None else FLAGGED
+        more = lambda a, b: b"" if flags is None else flags[a:b].astype(np.uint8).tobytes()
+        return [(block, k, kind, self.distinct[a:b].tobytes() + more(a, b)) for k, a, b in zip(self.buckets.tolist(), self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)]
+
+    def answer(self, rows: pa.Table) -> np.ndarray:
+        """The answer for each distinct name that was asked."""
+        out = np.zeros(len(self.distinct), bool)
+        for bucket, kind, payload in zip(*(rows.column(c).to_pylist() for c in ("bucket", "kind", "payload")), strict=True):
+            if kind < CARRY:
+                k = int(np.searchsorted(self.buckets, bucket))
+                a, b = self.at[k], self.at[k + 1]
+                out[a:b] = np.unpackbits(np.frombuffer(payload, np.uint8), count=b - a).astype(bool)
+        return out

@@ -15,8 +15,11 @@ shift below PERIOD at which both places fall on positions of a difference cover
    themselves, bucket by bucket.
 
 Buckets hold 64-bit names of bytes, not the bytes, so memory is bounded by a
-bucket's number of names; equal names stand for equal strings (two different
-ones of n get the same name with probability about n*n / 2**65). Text moves in one shuffle.
+bucket's number of names; equal names stand for equal strings. A name is made of
+polynomials modulo a prime, and the bucket is chosen by a further one: two
+different strings of n live ones, with BUCKET_NAMES to a bucket, get the same
+bucket and name with probability about n * BUCKET_NAMES / 2**65, so 0.3 at 10**13
+of them. Text moves in one shuffle.
 
 Defined results: null text is empty; a text shorter than LENGTH holds no string
 to remove. Matches never cross documents. Repeated rows repeat each other's
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks
-from .blocks import CARRY, answers, ask, meet, messages, names, question, read_answer
+from .blocks import CARRY, Asked, answers, ask, meet, messages, names
 from .common import text_buffer
 
 LENGTH = 400
@@ -69,8 +72,8 @@ def cover_for(length: int) -> tuple[int, tuple[int, ...]]:
 class Text:
     """The texts of a block as one array, with the cover positions of each."""
 
-    def __init__(self, rows: pa.Table, length: int) -> None:
-        self.length = length
+    def __init__(self, rows: pa.Table, length: int, buckets: int) -> None:
+        self.length, self.buckets = length, buckets
         self.period, cover = cover_for(length)
         self.core = length - self.period + 1
         self.rows = rows
@@ -86,12 +89,12 @@ class Text:
         self.cover = np.concatenate(found) if found else np.zeros(0, np.int64)
         self.owner = np.repeat(self.long, counts) if found else np.zeros(0, np.int64)
 
-    def cores(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct names of the cover suffixes, and each suffix's place among them."""
-        return np.unique(names(self.data, self.cover, self.core), return_inverse=True)
+    def cores(self, live: np.ndarray | slice = slice(None)) -> Asked:
+        """Names of the cover suffixes."""
+        return Asked(names(self.data, self.cover[live], self.core), self.buckets)
 
-    def contexts(self, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of live suffixes: distinct names of their contexts, places among them, which suffixes, first and last string start."""
+    def contexts(self, live: np.ndarray) -> tuple[Asked, np.ndarray, np.ndarray]:
+        """Names of the contexts of live suffixes that are wide enough for a string, with first and last string start."""
         p, own = self.cover[live], self.owner[live]
         left = np.minimum(p - self.at[own], self.period - 1)
         right = np.minimum(self.at[own + 1] - p, self.length)
@@ -99,11 +102,9 @@ class Text:
         p, left, right = p[wide], left[wide], right[wide]
         start = p - left
         order = np.argsort(start, kind="stable")
-        named = np.empty(len(p), np.uint64)
-        named[order] = names(self.data, start[order], (left + right)[order])
-        named = blocks.mix(named ^ left.astype(np.uint64))
-        distinct, place = np.unique(named, return_inverse=True)
-        return distinct, place, np.flatnonzero(wide), start, p + right - self.length
+        named = np.empty((2, len(p)), np.uint64)
+        named[:, order] = names(self.data, start[order], (left + right)[order])
+        return Asked((named[0], blocks.mix(named[1] ^ left.astype(np.uint64))), self.buckets), start, p + right - self.length
 
     def spread(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """A flag for each byte, set from first to last of each pair."""
@@ -125,19 +126,18 @@ class Text:
         left = np.concatenate([[0], np.cumsum(~settled)])
         return any_ & (left[np.where(any_, last, first) + 1] > left[first]) if len(first) else np.zeros(0, bool)
 
-    def strings(self, active: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of the strings that hold the core of an active suffix, with distinct names and places among them."""
+    def strings(self, active: np.ndarray) -> tuple[np.ndarray, Asked]:
+        """Starts of the strings that hold the core of an active suffix, and their names."""
         first, last, any_ = self.ranges(active)
         starts = np.flatnonzero(self.spread(first[any_], last[any_]))
-        distinct, place = np.unique(names(self.data, starts, self.length), return_inverse=True)
-        return starts, distinct, place
+        return starts, Asked(names(self.data, starts, self.length), self.buckets)
 
 
-def _shared(rows: pa.Table, distinct: np.ndarray, place: np.ndarray, buckets: int) -> np.ndarray:
+def _shared(rows: pa.Table, asked: Asked) -> np.ndarray:
     """Whether each item's name is another's, too, in this block or elsewhere."""
-    if not len(place):
+    if not len(asked.place):
         return np.zeros(0, bool)
-    return (read_answer(rows, distinct, buckets) | (np.bincount(place, minlength=len(distinct)) > 1))[place]
+    return (asked.answer(rows) | (np.bincount(asked.place, minlength=len(asked.distinct)) > 1))[asked.place]
 
 
 def _bits(x: np.ndarray) -> bytes:
@@ -155,51 +155,51 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fals
     buckets = max(1, -(-(total * len(cover) // period) // blocks.BUCKET_NAMES))
 
     def first(part: pa.Table) -> pa.Table:
-        text = Text(part, length)
-        return messages(question(part.column("block")[0].as_py(), text.cores()[0], buckets))
+        text = Text(part, length, buckets)
+        return messages(text.cores().question(part.column("block")[0].as_py()))
 
     def second(part: pa.Table, told: pa.Table) -> pa.Table:
         if not part.num_rows:
             return messages([])
-        text, block = Text(part, length), part.column("block")[0].as_py()
-        live = _shared(told, *text.cores(), buckets)
+        text, block = Text(part, length, buckets), part.column("block")[0].as_py()
+        live = _shared(told, text.cores())
         if not live.any():
             return messages([])
-        out = question(block, text.contexts(live)[0], buckets)
+        out = text.contexts(live)[0].question(block)
         return messages([*out, (block, block % buckets, LIVE, _bits(live))])
 
     def third(part: pa.Table, told: pa.Table) -> pa.Table:
         if not part.num_rows or not told.num_rows:
             return messages([])
-        text, block = Text(part, length), part.column("block")[0].as_py()
+        text, block = Text(part, length, buckets), part.column("block")[0].as_py()
         live = _flags(blocks.carried(told, LIVE), len(text.cover))
-        distinct, place, _, start, last = text.contexts(live)
-        same = _shared(told, distinct, place, buckets)
+        contexts, start, last = text.contexts(live)
+        same = _shared(told, contexts)
         open_ = text.unsettled(live, text.spread(start[same], last[same]))
-        cores, place = np.unique(names(text.data, text.cover[live], text.core), return_inverse=True)
-        out = question(block, cores, buckets, np.bincount(place, weights=open_, minlength=len(cores)) > 0)
+        cores = text.cores(live)
+        out = cores.question(block, np.bincount(cores.place, weights=open_, minlength=len(cores.distinct)) > 0)
         return messages([*out, (block, block % buckets, LIVE, _bits(live)), (block, block % buckets, LONG, _bits(same))])
 
     def fourth(part: pa.Table, told: pa.Table) -> pa.Table:
         if not part.num_rows or not told.num_rows:
             return messages([])
-        text, block = Text(part, length), part.column("block")[0].as_py()
+        text, block = Text(part, length, buckets), part.column("block")[0].as_py()
         live = _flags(blocks.carried(told, LIVE), len(text.cover))
-        cores, place = np.unique(names(text.data, text.cover[live], text.core), return_inverse=True)
+        cores = text.cores(live)
         active = live.copy()
-        active[live] = read_answer(told, cores, buckets)[place]
-        out = question(block, text.strings(active)[1], buckets)
+        active[live] = cores.answer(told)[cores.place]
+        out = text.strings(active)[1].question(block)
         return messages([*out, *((block, block % buckets, kind, x) for kind, x in ((LIVE, _bits(live)), (LONG, blocks.carried(told, LONG)), (ACTIVE, _bits(active))))])
 
     def final(part: pa.Table, told: pa.Table) -> pa.Table:
-        text = Text(part, length)
+        text = Text(part, length, buckets)
         repeated = np.zeros(len(text.data), bool)
         if told.num_rows:
             live = _flags(blocks.carried(told, LIVE), len(text.cover))
-            _, _, _, start, last = text.contexts(live)
+            _, start, last = text.contexts(live)
             same = _flags(blocks.carried(told, LONG), len(start))
-            starts, distinct, place = text.strings(_flags(blocks.carried(told, ACTIVE), len(text.cover)))
-            hit = starts[_shared(told, distinct, place, buckets)]
+            starts, strings = text.strings(_flags(blocks.carried(told, ACTIVE), len(text.cover)))
+            hit = starts[_shared(told, strings)]
             repeated = text.spread(np.concatenate([start[same], hit]), np.concatenate([last[same], hit]) + length - 1)
         n, removed, spans, digests, left = [], [], [], [], []
         for a, b in zip(text.at[:-1].tolist(), text.at[1:].tolist(), strict=True):
