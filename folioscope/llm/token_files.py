@@ -18,7 +18,7 @@ payload) of a Parquet table, so that any store that Spark writes to can hold
 them; `export` copies them to plain files on a mounted folder.
 
 Defined results: null and empty texts hold the end id alone. Equal doc_ids are
-ordered by their ids; a null doc_id comes first and is stored as a flag value.
+ordered by a hash of their texts; a null doc_id comes first and is stored as a flag value.
 Columns besides doc_id and text are ignored; an empty table has no shard.
 """
 
@@ -38,12 +38,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import KEPT_LENGTH
-from .common import ids_and_texts, scratch, slices
+from .common import ids_and_texts, scratch, slices, tidy
 
 MAGIC = 0x31525046
 BLOCK = 4096
 KEEP = (90, 95, 99, 100)  # percentiles of differences that the packed width may hold
 SHARD_IDS = 2_000_000
+PARTITION_BYTES = 256 << 20
 #: Units and words kept in each of the two generations of the encoder's tables.
 KEPT_UNITS = KEPT_WORDS = 500_000
 NO_ID = -(1 << 63)  # stands for a null doc_id
@@ -182,7 +183,8 @@ class LibraryEncoder:
     Texts are cut at spaces and line ends into units. A unit of letters and
     closing punctuation is cut again between the two, so that a word is encoded
     once, whatever follows it; the library encodes what isn't in the tables (of
-    bounded size) yet. Strings of special tokens in a text are ordinary text.
+    bounded size) yet. A text that may hold the string of an added token, which
+    the library gives that token's id, goes to the library whole.
     """
 
     #: Signs after a word that the pattern always splits from letters; no apostrophe, which may begin a contraction.
@@ -193,20 +195,23 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             lean = json.load(f)
+        self.added = sorted({x["content"].strip().lower() for x in lean.get("added_tokens") or []})
         # For words that are normal already: the same model without the normaliser and the splitting pattern, which would change nothing.
         steps = (lean.get("pre_tokenizer") or {}).get("pretokenizers") or []
         self.word_tokenizer = self.tokenizer
         if [x["type"] for x in (lean.get("normalizer") or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]:
             lean |= {"normalizer": None, "pre_tokenizer": steps[1]}
             self.word_tokenizer = Tokenizer.from_str(json.dumps(lean))
-            self.word_tokenizer.encode_special_tokens = True
         self.units, self.old_units = _Known(), {}
         self.words: dict[str, bytes] = {}
         self.old_words: dict[str, bytes] = {}
 
+    def _has_added(self, text: str) -> bool:
+        low = text.lower()
+        return any(x in low for x in self.added)
+
     def _parts(self, unit: str) -> tuple[str, str, bool]:
         """The unit as a word and its closing signs; whether the word is letters in their normal form."""
         word = unit.rstrip(self.CLOSING)
@@ -247,7 +252,9 @@ class LibraryEncoder:
         if len(self.words) > KEPT_WORDS:
             self.old_words, self.words = self.words, {}
         known = self.units
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
+        odd = [i for i, x in enumerate(texts) if self._has_added(x)]
+        whole = {i: array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes() for i in odd}
+        cut = [[] if i in whole else x.replace("\n", " ").split(" ") for i, x in enumerate(texts)]
         get = known.__getitem__
         found = [list(map(get, x)) for x in cut]
         missed, known.missed = known.missed, []
@@ -259,6 +266,8 @@ class LibraryEncoder:
                     at = ids.index(None, at + 1)
                     ids[at] = known[units[at]]
         out = list(map(b"".join, found))
+        for i, ids in whole.items():
+            out[i] = ids
         for unit in missed:
             if len(unit) > KEPT_LENGTH:
                 known.pop(unit, None)
@@ -276,22 +285,11 @@ def encoder(path: str) -> LibraryEncoder:
 
 
 def _shards(rows: Iterable[tuple[int | None, np.ndarray]]) -> Iterator[tuple[int, bytes]]:
-    """Shards (number, payload) of rows in order; rows of one doc_id are ordered by their ids."""
-    tied: list[tuple[int | None, np.ndarray]] = []
+    """Shards (number, payload) of rows in order."""
     doc_ids: list[int] = []
     ids: list[np.ndarray] = []
     size = number = 0
-
-    def ordered() -> Iterator[tuple[int | None, np.ndarray]]:
-        nonlocal tied
-        for row in rows:
-            if tied and tied[0][0] != row[0]:
-                yield from sorted(tied, key=lambda x: x[1].tolist()) if len(tied) > 1 else tied
-                tied = []
-            tied.append(row)
-        yield from sorted(tied, key=lambda x: x[1].tolist())
-
-    for doc_id, own in ordered():
+    for doc_id, own in rows:
         doc_ids.append(NO_ID if doc_id is None else doc_id)
         ids.append(own)
         size += len(own)
@@ -303,9 +301,15 @@ def _shards(rows: Iterable[tuple[int | None, np.ndarray]]) -> Iterator[tuple[int
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, partitions: int | None = None) -> None:
-    """Writes the shards of docs to path. vocabulary: the tokenizer's file, at the same place on every executor."""
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Writes the shards of docs to path. vocabulary: the tokenizer's file, at the same place on every executor.
+
+    Ranges hold PARTITION_BYTES of text at most, about; there are as many as the session's shuffles have, or more.
+    """
+    spark, rows_in = docs.sparkSession, ids_and_texts(docs)
+    n = partitions
+    if not n:
+        total = rows_in.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
     last = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,8 +326,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 1, p
         for number, payload in _shards(rows()):
             yield pa.RecordBatch.from_arrays([pa.array([part_id], pa.int32()), pa.array([number], pa.int32()), pa.array([payload], pa.binary())], ["part", "shard", "payload"])
 
-    ordered = ids_and_texts(docs).repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id")
-    ordered.mapInArrow(run, "part int, shard int, payload binary").write.mode("errorifexists").option("compression", "zstd").parquet(path)
+    # Rows of one doc_id may be dealt to several ranges, by a hash of the text.
+    dealt = rows_in.withColumn("h", F.xxhash64("text")).repartitionByRange(n, F.col("doc_id"), F.col("h"))
+    ordered = dealt.sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
+    ordered.mapInArrow(tidy(run), "part int, shard int, payload binary").write.mode("errorifexists").option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
