@@ -1,16 +1,19 @@
 """Main text of web pages by a maximum-scoring subsequence.
 
-A page is read as a sequence of words and tags. Words score by where they stand
-(plain text, link, heading, list, boilerplate element), tags by their kind; the
-weights come from labelled pages by an averaged structured perceptron that
-starts from words +1 and tags -1. One linear scan finds the contiguous stretch
-with the highest sum: that is the content region. What stands in it inside
-elements that never hold content (scripts, menus, asides, forms, reader
-comments, ...) is left out.
+A page is read as a sequence of words and tags. A word's score is the sum of
+weights: one for being a word, and one for each feature of the place it stands in
+(the elements around it, the words of their class, id and role, link, list,
+heading); a tag's score is the weight of its name. The weights come from labelled
+pages by an averaged perceptron that starts from words +1 and tags -1. One linear
+scan finds the contiguous stretch with the highest sum: that is the content
+region. Words in it whose own score isn't positive (an advert inside the article,
+say) are left out. Only what browsers don't show as text (scripts, styles, markup)
+is left out by its element's name.
 
 Defined results: null and empty html give empty text; so does a page without a
 word of positive weight. Damaged markup (open quotes, missing end tags, a lone
-`<`) never fails: what can't be a tag is text. Repeated rows are read each;
+`<`) never fails: what can't be a tag is text; time is linear in the page's
+length, whatever the damage. Repeated rows are read each;
 columns besides page_id, url and html are ignored.
 """
 
@@ -20,7 +23,8 @@ import html as entities
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,23 +50,25 @@ _HINT = re.compile(r"\b(class|id|role|hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _WORD = re.compile(r"[a-z]+")
 
 
-def _hints(attributes: str) -> tuple[bool, bool]:
-    """Whether class, id or role speak against content, and for it."""
-    bad = good = False
+def _hints(attributes: str) -> set[str]:
+    """The words of class, id and role as features."""
+    out = set()
     for kind, *values in _HINT.findall(attributes):
-        words = set(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()))
-        if kind.lower() == "role":
-            bad |= bool(words & BAD_ROLES)
-        else:
-            bad |= bool(words & BAD_HINTS)
-            good |= bool(words & GOOD_HINTS)
-    return bad and not (good and "comments" not in attributes and "article" in attributes.lower()), good
+        words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower())
+        out.update(f"role {x}" if kind.lower() == "role" else f"hint {x}" for x in words if kind.lower() != "hidden")
+    return out
+
+
+#: A text run or a tag: its features (of a tag, one), how often they count, and the text.
+Token = tuple[tuple[str, ...], int, str]
 
 
-def parse(page: str) -> list[tuple[str, int, str]]:
-    """(kind, weight factor, text) in page order: a tag has factor 1 and no text, a text run its number of words."""
-    out: list[tuple[str, int, str]] = []
-    stack: list[tuple[str, bool]] = []  # open containers, and whether what is in them is boilerplate
+def parse(page: str) -> list[Token]:
+    """Text runs and tags in page order. A run counts once for each of its words, white space alone not at all."""
+    out: list[Token] = []
+    stack: list[tuple[str, tuple[str, ...]]] = []  # open containers, and the features of what is in them
+    opened: Counter = Counter()
+    endless: set[str] = set()  # raw elements with no end tag from here on
     link, heading, listed = False, False, 0
     at, n, quotes = 0, len(page), True
     ends = True  # a '>' may still follow
@@ -70,11 +76,10 @@ def parse(page: str) -> list[tuple[str, int, str]]:
     def words(raw: str) -> None:
         text = entities.unescape(raw)
         if count := len(text.split()):
-            bad = bool(stack) and stack[-1][1]
-            kind = "boiler words" if bad else "link words" if link else "heading words" if heading else "list words" if listed else "words"
-            out.append((kind, count, text))
+            around = stack[-1][1] if stack else ()
+            out.append((("words", *around, *("listed link" if listed else "link",) * link, *("heading",) * heading, *("list",) * (listed > 0)), count, text))
         elif text and out:
-            out.append(("space", 0, text))
+            out.append((("space",), 0, text))
 
     while at < n:
         lt = page.find("<", at)
@@ -115,26 +120,29 @@ def parse(page: str) -> list[tuple[str, int, str]]:
         attributes, at = page[named.end() : end - 1], end
         closing = bool(named[1])
         if not closing and name in RAW and name != "head":
-            close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, end)
-            out.append(("raw tag", 1, ""))
+            close = None if name in endless else _end_of(name).search(page, end)
+            out.append((("tag raw",), 1, ""))
             if close:
                 at = close.end()
                 continue
+            endless.add(name)
             if name in ("script", "style"):
                 at = n
                 continue
         if name in CONTAINERS:
             if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
+                while opened[name]:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == name:
                         break
             else:
-                bad = bool(stack) and stack[-1][1]
-                own, good = _hints(attributes) if attributes else (False, False)
-                inside = any(x == "article" or x == "main" for x, _ in stack)
-                boiler = (name in BOILER and not (name == "header" and inside)) or (name in RAW)
-                stack.append((name, (bad or own or boiler) and name not in ("html", "body")))
+                around = stack[-1][1] if stack else ()
+                own = set() if name in ("html", "body") else _hints(attributes) if attributes else set()
+                if name not in ("html", "body", "div"):
+                    own.add("inner header" if name == "header" and (opened["article"] or opened["main"]) else f"in {name}")
+                stack.append((name, (*around, *sorted(own.difference(around)))))
+                opened[name] += 1
             link = heading = False
         if name == "a":
             link = not closing
@@ -145,107 +153,144 @@ def parse(page: str) -> list[tuple[str, int, str]]:
             link = heading = False
         if name in ("ul", "ol", "dl"):
             listed = max(0, listed + (-1 if closing else 1))
-        bad = bool(stack) and stack[-1][1]
-        kind = (
-            "boiler tag" if name in BOILER or (bad and name in BLOCK) else "heading tag" if name in HEADINGS else "list tag" if name in LISTS
-            else "link tag" if name == "a" else "content tag" if name in ("article", "main") else "container tag" if name in CONTAINERS
-            else "paragraph tag" if name in ("p", "blockquote", "pre") else "inline tag"
-        )
-        out.append((kind, 1, " " if name in BLOCK else ""))
+        out.append(((f"tag {name}",), 1, " " if name in BLOCK else ""))
     return out
 
 
-KINDS = ("words", "link words", "heading words", "list words", "boiler words", "raw tag", "boiler tag", "heading tag", "list tag", "link tag", "content tag", "container tag", "paragraph tag", "inline tag")
-START = {k: 1.0 if k.endswith("words") and k not in ("boiler words", "link words") else -1.0 for k in KINDS}
+@lru_cache(64)
+def _end_of(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I)
 
 
-def region(tokens: list[tuple[str, int, str]], weights: dict[str, float]) -> tuple[int, int]:
+def weight(weights: dict[str, float], features: tuple[str, ...]) -> float:
+    """Of one word or tag. What no labelled page has counts 0, an unknown tag as a tag."""
+    if features[0] == "words":
+        return sum(weights.get(f, 0.0) for f in features)
+    return weights.get(features[0], weights["tag"]) if features[0] != "space" else 0.0
+
+
+def region(tokens: list[Token], weights: dict[str, float]) -> tuple[int, int]:
     """The stretch [a, b) with the highest sum; of equal sums the first, and the longest from there."""
     best, span = 0.0, (0, 0)
     total, start = 0.0, 0
-    for i, (kind, factor, _) in enumerate(tokens):
+    known: dict[tuple[str, ...], float] = {}
+    for i, (features, factor, _) in enumerate(tokens):
+        if (w := known.get(features)) is None:
+            w = known[features] = weight(weights, features)
         if total <= 0 and not (total == 0 and factor == 0):
             total, start = 0.0, i
-        total += weights.get(kind, 0.0) * factor
+        total += w * factor
         if total > best or (total == best and best > 0 and span[0] == start):
             best, span = total, (start, i + 1)
     return span
 
 
-def text_of(tokens: list[tuple[str, int, str]], span: tuple[int, int]) -> str:
-    """Blocks in page order, with white space inside and between them as one space; no boilerplate."""
-    return " ".join("".join(text for kind, _, text in tokens[span[0] : span[1]] if kind != "boiler words").split())
+def text_of(tokens: list[Token], span: tuple[int, int], weights: dict[str, float]) -> str:
+    """Blocks in page order, with white space inside and between them as one space; runs with a weight above 0 only."""
+    known: dict[tuple[str, ...], bool] = {}
+    parts = []
+    for features, _, text in tokens[span[0] : span[1]]:
+        if features[0] == "words":
+            if (good := known.get(features)) is None:
+                good = known[features] = weight(weights, features) > 0
+            text = text if good else " "
+        parts.append(text)
+    return " ".join("".join(parts).split())
+
+
+#: Words of labelled pages that aren't content begin with this.
+NOISE = "~"
 
 
-def train(labelled: list[tuple[str, str, str]], rounds: int = 12) -> dict[str, float]:
-    """Weights from (html, first words, last words) of each page's content, by an averaged structured perceptron."""
-    pages = []
-    for page, first, last in labelled:
+def train(pages: list[str], rounds: int = 10) -> dict[str, float]:
+    """Weights from labelled pages, by an averaged perceptron: on each run by itself, and on the region from the first content run to the last."""
+    parsed = []
+    for page in pages:
         tokens = parse(page)
-        a = next(i for i, x in enumerate(tokens) if first in x[2])
-        b = max(i for i, x in enumerate(tokens) if last in x[2]) + 1
-        pages.append((tokens, (a, b)))
-    weights = dict(START)
+        runs = [i for i, x in enumerate(tokens) if x[0][0] == "words"]
+        content = [i for i in runs if NOISE not in tokens[i][2]]
+        parsed.append((tokens, [(tokens[i][0], 1 if NOISE not in tokens[i][2] else -1) for i in runs], (content[0], content[-1] + 1)))
+    weights: dict[str, float] = {"words": 1.0, "tag": -1.0}
     total: Counter = Counter()
     seen = 0
 
-    def counts(tokens: list[tuple[str, int, str]], span: tuple[int, int]) -> Counter:
+    def add(features: tuple[str, ...], by: float) -> None:
+        for f in features:
+            weights[f] = weights.get(f, weights["tag"] if f.startswith("tag ") else 0.0) + by
+
+    def counts(tokens: list[Token], span: tuple[int, int]) -> Counter:
         out: Counter = Counter()
-        for kind, factor, _ in tokens[span[0] : span[1]]:
-            out[kind] += factor
+        for features, factor, _ in tokens[span[0] : span[1]]:
+            if factor:
+                out[features] += factor
         return out
 
     for _ in range(rounds):
-        for tokens, gold in pages:
+        for tokens, runs, gold in parsed:
+            for features, label in runs:
+                if label * weight(weights, features) <= 0.5 and any(f != "words" for f in features):  # plain words are the region's matter
+                    add(features[1:], 0.2 * label)
             guess = region(tokens, weights)
             if guess != gold:
                 a, b = counts(tokens, gold), counts(tokens, guess)
-                size = sum(abs(a[k] - b[k]) for k in KINDS) or 1
-                for k in KINDS:
-                    weights[k] += (a[k] - b[k]) / size
-                # signs that the method rests on
-                weights["words"] = max(weights["words"], 0.1)
-                for k in ("boiler words", "boiler tag", "raw tag", "content tag"):
-                    weights[k] = min(weights[k], -0.1)
+                both = {k: a[k] - b[k] for k in {*a, *b}}
+                size = sum(map(abs, both.values())) or 1
+                for features, k in both.items():
+                    add(features[:1], k / size)
+                weights["words"] = max(weights["words"], 0.2)  # the sign that the method rests on
             total.update(weights)
             seen += 1
-    return {k: total[k] / seen for k in KINDS}
-
-
-def labelled_pages(n: int = 240, seed: int = 5) -> list[tuple[str, str, str]]:
-    """Pages of several layouts made from invented words, with the first and last words of their content."""
-    rng = random.Random(seed)
+    return {k: v / seen for k, v in total.items()}
 
-    def say(a: int, b: int) -> str:
-        return " ".join("".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(a, b)))
 
-    def links(a: int, b: int) -> str:
-        return "".join(f'<li><a href="/{say(1, 1)}">{say(1, 2)}</a></li>' for _ in range(rng.randint(a, b)))
+def labelled_pages(n: int = 300, seed: int = 5) -> list[str]:
+    """Pages of several layouts made from invented words; those that aren't content begin with NOISE.
 
-    def paragraphs(first: str, last: str) -> str:
-        end = lambda: "</p>" if rng.random() < 0.8 else ""
-        body = [f"<p>{say(3, 120)}{end()}" if rng.random() < 0.8 else f"<p><b>{say(2, 9)}<br>{end()}" if rng.random() < 0.5 else f'<p>{say(5, 40)} <a href="/x">{say(1, 3)}</a> {say(5, 40)}{end()}' for _ in range(rng.randint(0, 12))]
-        if rng.random() < 0.2:
-            body.insert(rng.randint(0, len(body)), "<ul>" + "".join(f"<li>{say(3, 14)}</li>" for _ in range(3)) + "</ul>")
-        if rng.random() < 0.2:
-            body.insert(rng.randint(0, len(body)), f'<div class="ad">{say(3, 12)}</div>')
-        some = lambda: say(0, 50) if rng.random() < 0.5 else ""  # noqa: E731  a block may be one word
-        close = f"<p>{some()} {last}</p>" if rng.random() < 0.7 else f"<p><b>{some()} {last}<br>{end()}"
-        return f"<p>{first} {some()}{end()}" + "".join(body) + close
+    They know the usual names of page parts. Some parts have no telling name at
+    all: a few words among many tags, which only the region leaves out.
+    """
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 9)))
+    say = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    noise = lambda a, b: " ".join(NOISE + word() for _ in range(rng.randint(a, b)))
+    links = lambda a, b: "".join(f'<li><a href="/{word()}">{noise(1, 2)}</a></li>' for _ in range(rng.randint(a, b)))
+
+    def part(inside: bool) -> str:
+        """A part with a telling name."""
+        k = rng.random()
+        body = rng.choice([f"<p>{noise(3, 60)}</p>", noise(2, 40), f"<ul>{links(2, 7)}</ul>", f"<h2>{noise(1, 3)}</h2><p>{noise(4, 60)}</p><p>{noise(4, 60)}</p>", f"<a href='/'>{noise(1, 4)}</a>"])
+        if k < 0.35:
+            name = rng.choice(sorted(BOILER - {"option", "input", "select", "address"} - ({"header"} if inside else set())))
+            return f"<{name}>{body}</{name}>"
+        if k < 0.45:
+            return f'<div role="{rng.choice(sorted(BAD_ROLES))}">{body}</div>'
+        kind, hints = rng.choice(["class", "id"]), [rng.choice(sorted(BAD_HINTS)), *[rng.choice(["box", "block", "inner", "x1"])] * (rng.random() < 0.3)]
+        name = rng.choice(["div", "div", "section", "aside", "ul", "p"]) if kind == "class" else "div"
+        return f'<{name} {kind}="{rng.choice(["-", " ", "_"]).join(hints)}">{noise(2, 60) if name == "p" else links(2, 6) if name == "ul" else body}</{name}>'
+
+    def bare() -> str:
+        """Parts without a name."""
+        return rng.choice([f"<ul>{links(3, 9)}</ul>", "".join(f"<div><span>{noise(1, 2)}</span></div>" for _ in range(rng.randint(2, 5))), f"<div><div><a href='/'><b>{noise(1, 2)}</b></a></div></div>", f"<table><tr><td><span>{noise(1, 1)}</span></td><td><i>{noise(1, 1)}</i></td></tr></table>"])
+
+    def some(most: int, chance: float, make: Callable[[], str]) -> str:
+        return "".join(make() for _ in range(most) if rng.random() < chance)
 
     out = []
-    for i in range(n):
-        first, last = f"beginzz{i}", f"finishzz{i}"
-        head = f"<h1>{first} {say(0, 9)}</h1>" if rng.random() < 0.7 else ""
-        inner = head + paragraphs(first if not head else say(1, 1), last)
-        shell = rng.choice(["article", "main", 'div id="content"', 'div class="post-body"', "section", "td", "div"])
+    for _ in range(n):
+        end = lambda: "</p>" if rng.random() < 0.8 else ""
+        blocks = [rng.choice([f"<p>{say(12, 120)}{end()}", f"<p>{say(12, 60)}{end()}", f"<p><b>{say(6, 12)}<br>{say(4, 20)}{end()}", f'<p>{say(5, 40)} <a href="/x">{say(1, 3)}</a> {say(5, 40)}{end()}', f"<p>{say(1, 6)}{end()}"]) for _ in range(rng.randint(2, 12))]
+        if rng.random() < 0.25:
+            blocks.insert(rng.randint(1, len(blocks)), "<ul>" + "".join(f"<li>{say(6, 16)}</li>" for _ in range(3)) + "</ul>")
+        if rng.random() < 0.5:
+            blocks.insert(rng.randint(1, len(blocks)), part(True))
+        head = f"<h1>{say(1, 9)}</h1>" if rng.random() < 0.7 else ""
+        shell = rng.choice(["article", "article", "main", "section", "td", "div", *[f'div {rng.choice(["id", "class"])}="{rng.choice(sorted(GOOD_HINTS))}{rng.choice(["", "-box", "-text"])}"' for _ in range(3)]])
+        head = f"<header>{head}</header>" if head and shell in ("article", "main") and rng.random() < 0.3 else head
         name = shell.split()[0]
-        before = [f"<nav><ul>{links(2, 9)}</ul></nav>"] if rng.random() < 0.8 else [f"<ul>{links(3, 9)}</ul>"]
-        before += [x for x, p in ((f'<div class="ad">{say(3, 30)}</div>', 0.6), (f"<header><a href='/'>{say(1, 4)}</a></header>", 0.4), (f'<div class="cookie-notice">{say(6, 40)}</div>', 0.3), (f"<aside>{say(4, 60)}</aside>", 0.3), (f"<form><label>{say(1, 3)}</label><input name=q></form>", 0.3)) if rng.random() < p]
-        after = [x for x, p in ((f'<section id="comments"><h2>{say(1, 3)}</h2>' + "".join(f'<div class="comment"><p>{say(4, 60)}</p></div>' for _ in range(rng.randint(1, 5))) + "</section>", 0.4), (f"<div class='related'><ul>{links(2, 7)}</ul></div>", 0.3), (f"<aside><p>{say(4, 60)}</p></aside>", 0.3)) if rng.random() < p]
-        foot = f"<footer>&copy; {say(3, 40)}</footer>" if rng.random() < 0.8 else f"<ul>{links(2, 6)}</ul>"
-        page = f"<!DOCTYPE html><html><head><title>{say(3, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{''.join(before)}<{shell}>{inner}</{name}>{''.join(after)}{foot}</body></html>"
-        out.append((page, first, last))
+        outer = rng.choice(["", "", f'<div class="{rng.choice(sorted(GOOD_HINTS))}">', '<div id="wrap">'])
+        page = f"{some(3, 0.5, lambda: part(False))}{some(1, 0.4, bare)}<{shell}>{head}{''.join(blocks)}{some(1, 0.2, lambda: part(True))}</{name}>{some(3, 0.4, lambda: part(False))}{some(1, 0.3, bare)}"
+        foot = f"<footer>&copy; {noise(3, 40)}</footer>" if rng.random() < 0.8 else ""
+        out.append(f"<!DOCTYPE html><html><head><title>{noise(3, 9)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>{outer}{page}{'</div>' if outer else ''}{foot}</body></html>")
     return out
 
 
@@ -253,7 +298,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     tokens = parse(page)
-    return text_of(tokens, region(tokens, weights))
+    return text_of(tokens, region(tokens, weights), weights)
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
