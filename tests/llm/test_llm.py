@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -307,10 +308,52 @@ def test_decontamination(spark, monkeypatch):
 # 6
 
 
-def test_html(spark):
-    weights = html_text.train(html_text.labelled_pages())
-    wrong = sum(not (x.startswith(a) and x.endswith(b)) for x, a, b in ((html_text.extract(p, weights), a, b) for p, a, b in html_text.labelled_pages(100, 77)))
-    assert wrong <= 3
+def gold(page):
+    """The text of a labelled page without the runs that hold noise."""
+    return " ".join("".join(" " if html_text.NOISE in t else t for _, _, t in html_text.parse(page)).split())
+
+
+@pytest.fixture(scope="module")
+def weights():
+    return html_text.train(html_text.labelled_pages())
+
+
+def test_html_of_labelled_pages_needs_the_region(weights):
+    right = without = kept = lost = noise = 0
+    for page in html_text.labelled_pages(200, 77):
+        tokens, want = html_text.parse(page), gold(page)
+        got = html_text.extract(page, weights)
+        right += got == want
+        without += html_text.text_of(tokens, (0, len(tokens)), weights) == want
+        n = collections.Counter(got.split())
+        w = collections.Counter(want.split())
+        kept, lost, noise = kept + (n & w).total(), lost + (w - n).total(), noise + (n - w).total()
+    assert right >= 110 and right >= without + 30
+    assert lost <= 0.02 * (kept + lost) and noise <= 0.06 * kept
+
+
+def test_html_region_is_the_best_stretch():
+    rng = random.Random(4)
+    for _ in range(300):
+        tokens = [(("words",) if rng.random() < 0.5 else ("tag p",) if rng.random() < 0.7 else ("space",), rng.randint(0, 3), "x") for _ in range(rng.randint(0, 12))]
+        tokens = [(f, 0 if f == ("space",) else k, t) for f, k, t in tokens]
+        w = {"words": 1.0, "tag": -1.0, "tag p": -rng.choice([0.5, 1.0, 2.0])}
+        value = lambda a, b: sum(html_text.weight(w, f) * k for f, k, _ in tokens[a:b])  # noqa: B023, E731
+        best = max([0.0, *(value(a, b) for a in range(len(tokens)) for b in range(a + 1, len(tokens) + 1))])
+        assert value(*html_text.region(tokens, w)) == pytest.approx(best)
+
+
+def test_html_takes_linear_time_on_damage(weights):
+    for piece in ("<svg>", "<section></div>", "<script>", '<div class="ad">', "<a href='", "<!--", "<p <p "):
+        times = []
+        for n in (20_000, 80_000):
+            start = time.process_time()
+            html_text.extract(piece * n, weights)
+            times.append(time.process_time() - start)
+        assert times[1] < max(1.0, 8 * times[0]), piece
+
+
+def test_html(spark, weights):
     page = "<html><head><title>T</title><script>var a='<p>x</p>'</script></head><body><header>Site</header><nav><a href=/>Home</a></nav><div class='cookie-notice'>We use cookies here</div><article><h1>Head</h1><p>One &amp; two&nbsp;three <b>fo</b>ur<p>Next\n\n line<br>end</p><form><label>Mail</label></form></article><section id=comments><p>First comment by a reader</p></section><footer>&copy; me</footer></body></html>"
     assert html_text.extract(page, weights) == "Head One & two three four Next line end"
     for odd in (None, "", "<", "<p", "<!--", "<script>", "</p></p>", '<p class="x>a', "&bogus;", "<p>" * 5000):
