@@ -10,7 +10,7 @@ the language's share of the pairwise probabilities.
 
 Defined results: a text that is null or has no letter is `und` with score 0.
 With one learnt language everything else is that language with score 1; with
-none, everything is `und`. A null language isn't learnt from. Columns besides
+none, everything is `und`. A null language isn't learnt from, nor is `und` itself. Columns besides
 doc_id, text and (for learning) lang are ignored; repeated rows are scored each.
 """
 
@@ -25,14 +25,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, remainder, slices, tidy
+from .common import ids_and_texts, release, remainder, slices, tidy
 
 DIMENSIONS = 1 << 12
 ORDERS = (1, 2, 3, 4)
-#: The bounds of the training sample: texts of each language, bytes of a training text, languages.
+#: The bounds of the training sample: texts of each language, texts in all (each language has LEAST_ROWS, however many there are), bytes of a text.
 ROWS_PER_LANGUAGE = 600
+TRAINING_ROWS, LEAST_ROWS = 24_000, 20
 TRAINING_BYTES = 20_000
-LANGUAGES = 200
+#: The same of a language that has longer texts only.
+LONG_ROWS, LONG_BYTES = 20, 2_000_000
 _LETTER = regex.compile(r"\p{L}").search
 _MULTIPLIER = np.uint32(2_654_435_761)
 
@@ -155,9 +157,9 @@ def fit(texts: list[str], langs: list[str]) -> Model:
     names = sorted(set(langs))
     if not names:
         return Model((), np.zeros((0, DIMENSIONS + 1)), (), np.zeros((0, DIMENSIONS + 1)))
-    x = np.array([features(t) for t in texts])
+    x = np.array([features(t).astype(np.float32) for t in texts])
     which = np.array([names.index(v) for v in langs])
-    means = np.array([x[which == i].mean(0) for i in range(len(names))])
+    means = np.array([x[which == i].mean(0, dtype=np.float64) for i in range(len(names))])
     means /= np.linalg.norm(means, axis=1, keepdims=True)
     families = find_families(names, means)
     home = {v: f for f, group in enumerate(families) for v in group}
@@ -175,26 +177,32 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def train(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """Fits on a bounded sample, chosen in each language by a hash of doc_id.
+    """Fits on a bounded sample of whole texts of every language, chosen by a hash of doc_id and text.
 
     A few hash values hold the share of rows that is wanted, so each language's
     rows are cut by its count before any is sorted.
     """
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (F.col("lang") != "und") & (F.octet_length("text") <= TRAINING_BYTES) & (F.octet_length("text") > 0))
-    counts = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.lit(False)
+    size = F.octet_length("text")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("doc_id").isNotNull() & (size > 0) & (size <= LONG_BYTES))
+    counts = named.groupBy("lang").agg(F.count(F.lit(1)).alias("all"), F.count(F.when(size <= TRAINING_BYTES, 1)).alias("short")).orderBy("lang").collect()  # a row for each language
+    each = min(rows_per_language, max(LEAST_ROWS, TRAINING_ROWS // max(1, len(counts))))
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    wanted, most = F.lit(False), 0
     for r in counts:
-        wanted = wanted | ((F.col("lang") == r["lang"]) & (spread < min(1.0, rows_per_language / r["count"])))
-    got = named.where(wanted & F.col("doc_id").isNotNull()).limit(2 * rows_per_language * max(1, len(counts))).select("doc_id", "text", "lang").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    return fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
+        rows, bound = (each, TRAINING_BYTES) if r["short"] else (min(each, LONG_ROWS), LONG_BYTES)
+        wanted = wanted | ((F.col("lang") == r["lang"]) & (size <= bound) & (spread < min(1.0, rows / (r["short"] or r["all"]))))
+        most += 2 * rows
+    got = named.where(wanted).dropDuplicates(["doc_id", "lang", "text"]).orderBy(spread, "doc_id", "lang").limit(max(1, most)).select("doc_id", "text", "lang").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("lang", "ascending")])
+    model = fit(got.column("text").to_pylist(), got.column("lang").to_pylist())
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score of every whole text; one pass, no shuffle."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(model)  # at most LANGUAGES**2 / 2 weight vectors, whatever the input
+    sent = spark.sparkContext.broadcast(model)  # follows the number of languages and families, not the rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value

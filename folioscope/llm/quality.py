@@ -127,7 +127,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     """Fits on at most rows_per_class labelled documents of each class, chosen by a hash of doc_id.
 
     Only the chosen ids (a bound that doesn't grow) are broadcast, and only
-    their texts come to the driver.
+    their texts come to the driver, one of each id (the smallest). A chosen
+    document without a text of 1 to TRAINING_BYTES bytes isn't learnt from.
     """
     label = labels.select(F.col("doc_id").cast("long").alias("l_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and l_id is not null").groupBy("l_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64("l_id")
@@ -136,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         part = label.where(F.col("quality") == c).orderBy(order, "l_id").limit(rows_per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = ids_and_texts(docs).where((F.octet_length("text") <= TRAINING_BYTES) & (F.octet_length("text") > 0))
-    got = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("doc_id", "quality", "text").toArrow()
+    got = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).toArrow()
     got = got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
     data, at = text_buffer(got.column("text"))
     raw = data.tobytes()
