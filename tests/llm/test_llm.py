@@ -162,6 +162,27 @@ def test_quality(spark):
     assert quality.keep_good(odd, model, 0.0).columns == odd.columns
 
 
+def test_quality_evidence_by_hand(spark):
+    """The score from compressed sizes taken piece by piece with zstandard itself; repeated rows change nothing."""
+    import zstandard
+
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.train(docs, labels)
+    assert quality.train(docs.unionByName(docs), labels.unionByName(labels)) == model
+    makers = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_dict_id=False) for x in (model.good, model.bad)]
+    rows = docs.select("doc_id", "text").limit(40).collect()
+    want = {}
+    for r in rows:
+        raw = (r.text or "").encode()
+        pieces = [raw[i : i + quality.PIECE] for i in range(0, len(raw), quality.PIECE)]
+        good, bad = (sum(len(m.compress(p)) - len(m.compress(b"")) for p in pieces) for m in makers)
+        short = quality.PRIOR_BYTES / (quality.PRIOR_BYTES + len(raw))
+        z = model.weights[0] * (bad - good) / max(1, len(raw)) * (1 - short) + model.weights[1] * short + model.weights[2]
+        want[r.doc_id] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    got = {r.doc_id: r.score for r in quality.score(docs, model).collect()}
+    assert all(got[i] == pytest.approx(x, abs=1e-9) for i, x in want.items())
+
+
 def test_quality_without_labels(spark):
     docs = make(spark, odd_rows())
     none = spark.createDataFrame([], "doc_id long, quality int")
@@ -261,6 +282,30 @@ def test_language(spark):
     assert only.predict("bonjour") == ("en", 1.0)
 
 
+def test_language_learns_every_language(spark, monkeypatch):
+    """Rare languages, one with long texts only, repeated rows; votes by hand."""
+    monkeypatch.setattr(language, "TRAINING_BYTES", 400)
+    rng = random.Random(2)
+    rows = []
+    for k in range(9):
+        letters = "abcdefghijklmnopqrstuvwxyz"[2 * k : 2 * k + 8]
+        for i in range(40 if k < 8 else 6):
+            rows.append((1000 * k + i, " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12 if k else 100)), f"l{k}"))
+    rows += [rows[-1]] * 30 + [(9000, None, "l1"), (9001, "", "l2"), (9002, "words", None), (None, "abc", "l3"), (9003, "x" * 50_000, "l4")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
+    model = language.train(df, 30)
+    assert sorted(x for f in model.families for x in f) == [f"l{k}" for k in range(9)]
+    got = [(r.doc_id, r.lang_pred) for r in language.predict(df, model).collect()]
+    truth = {i: v for i, t, v in rows if t and v and i != 9003}
+    assert len(got) == len(rows) and np.mean([truth[i] == p for i, p in got if i in truth]) > 0.9
+    text = rows[50][1]
+    x = language.features(text)
+    family = max(range(len(model.families)), key=lambda f: float(model.family_weights[f, :-1] @ x + model.family_weights[f, -1]))
+    names = model.families[family]
+    votes = collections.Counter(names[a if w[:-1] @ x + w[-1] >= 0 else b] for (f, a, b), w in zip(model.pairs, model.pair_weights, strict=True) if f == family)
+    assert votes[model.predict(text)[0]] == max(votes.values(), default=0)
+
+
 # 5
 
 

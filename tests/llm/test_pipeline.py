@@ -40,3 +40,21 @@ def test_stages_keep_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns, name
+
+
+def test_stages_on_odd_tables(spark):
+    """Nulls, empty and long texts, repeated rows, ties, clashing columns and an empty table at every stage."""
+    rows = [(None, "some plain text of a document"), (1, None), (2, ""), (2, ""), (3, "word " * 30_000), (4, "Une phrase ici"), (5, "Une phrase ici"), (5, "Une phrase ici"), (6, " \t\n ")]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("id", F.lit("clash")).withColumn("block", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        got = sorted((str(r.doc_id)) for r in out.collect())
+        if name == "exact_deduplication":
+            assert got == ["2", "3", "5", "6", "None"], got  # null and empty texts are equal, the largest doc_id stays
+        elif name == "near_deduplication":
+            assert got == ["1", "2", "2", "3", "4", "6", "None"], got
+        elif name in ("benchmark_decontamination", "bpe_encoding"):
+            assert got == sorted(str(i) for i, _ in rows), name
+        else:
+            assert set(got) <= {str(i) for i, _ in rows}
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
