@@ -37,9 +37,18 @@ def box_mean_1d(v: np.ndarray, size: int) -> np.ndarray:
 
 
 def median3(img: np.ndarray) -> np.ndarray:
+    """The median of nine is that of the highest low, the middle middle and the lowest high of the columns of three."""
     p = np.pad(img, 1, mode="edge")
-    h, w = img.shape
-    return np.median(np.stack([p[i : i + h, j : j + w] for i in range(3) for j in range(3)]), axis=0).astype(img.dtype)
+    low, mid, high = _sorted3(p[:-2], p[1:-1], p[2:])
+    a = np.maximum(np.maximum(low[:, :-2], low[:, 1:-1]), low[:, 2:])
+    b = _sorted3(mid[:, :-2], mid[:, 1:-1], mid[:, 2:])[1]
+    c = np.minimum(np.minimum(high[:, :-2], high[:, 1:-1]), high[:, 2:])
+    return _sorted3(a, b, c)[1]
+
+
+def _sorted3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    return np.minimum(low, c), np.maximum(low, np.minimum(high, c)), np.maximum(high, c)
 
 
 def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,28 +64,22 @@ def components(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     labels = np.zeros((h, w), np.int32)
     if not n:
         return labels, np.zeros((0, 3), np.int64)
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    row = np.searchsorted(ys, np.arange(h + 1))
-    for y in range(1, h):
-        i, a_end = row[y - 1], row[y]
-        j, b_end = row[y], row[y + 1]
-        while i < a_end and j < b_end:
-            if xs[i] <= xe[j] and xs[j] <= xe[i]:
-                p, q = root(i), root(j)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-            if xe[i] < xe[j]:
-                i += 1
-            else:
-                j += 1
-    roots, label = np.unique([root(i) for i in range(n)], return_inverse=True)
+    # Runs of the row above that a run touches follow each other, as runs are in reading order.
+    wide = w + 2
+    first = np.searchsorted(ys * wide + xe, (ys - 1) * wide + xs, "left")
+    count = np.maximum(np.searchsorted(ys * wide + xs, (ys - 1) * wide + xe, "right") - first, 0)
+    below = np.repeat(np.arange(n), count)
+    above = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(len(below))
+    label = np.arange(n)
+    while True:
+        a, b = label[above], label[below]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(label, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (up := label[label]).sum() != label.sum():
+            label = up
+    roots, label = np.unique(label, return_inverse=True)
     k = len(roots)
     area = np.bincount(label, xe - xs, k).astype(np.int64)
     lo_x, hi_x, lo_y, hi_y = np.full(k, w), np.zeros(k, np.int64), np.full(k, h), np.zeros(k, np.int64)

@@ -93,6 +93,21 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * f
 
 
+def ranked(correlations: DataFrame, by: str = "metric") -> DataFrame:
+    """Correlations (rho, n) from the strongest, either sign; undefined ones last. There is a row for each pair of columns, so one task sorts them."""
+    return correlations.orderBy(F.abs("rho").desc_nulls_last(), by)
+
+
+def correlation_report(rows: list[dict], by: str = "metric", signal: str = "OCR confidence") -> str:
+    """A markdown table of ranked correlations, with p and stars."""
+    out = [f"| metric | rho with {signal} | n | p | |", "| --- | --- | --- | --- | --- |"]
+    for r in rows:
+        rho = r["rho"]
+        p = math.nan if rho is None else spearman_p(rho, r["n"])
+        out.append(f"| {r[by]} | " + ("— | " if rho is None else f"{rho:+.3f} | ") + f"{r['n']} | " + ("—" if math.isnan(p) else f"{p:.4f}") + f" | {'' if math.isnan(p) else stars(p)} |")
+    return "\n".join(out)
+
+
 def stars(p: float) -> str:
     return "***" if p < 0.001 else "*" if p < 0.05 else ""
 

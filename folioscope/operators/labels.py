@@ -54,6 +54,19 @@ def status(label: Column, counts: dict[str, Column], total: Column, share: float
     )
 
 
+def frequency_report(rows: list[dict], parts: tuple[str, ...] = ("train", "val", "test")) -> str:
+    """Label counts of the parts (label, one column a part, status) as a markdown table."""
+    out = ["| label | " + " | ".join(parts) + " | status |", "| --- |" + " ---: |" * len(parts) + " --- |"]
+    out += [f"| {r['label']} | " + " | ".join(str(r[p]) for p in parts) + f" | {r['status']} |" for r in rows]
+    return "\n".join(out)
+
+
+def first_per_label(rows: DataFrame, most: int = 10, label: str = "label", order: str = "image") -> DataFrame:
+    """The first rows of each label, as a contact sheet shows them."""
+    nth = F.row_number().over(Window.partitionBy(label).orderBy(order))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= most)
+
+
 def hashed_order(seed: int, key: Column) -> Column:
     """A random order that any engine can repeat: md5 of seed and key."""
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))

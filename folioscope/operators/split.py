@@ -95,6 +95,19 @@ def shares(split: DataFrame) -> DataFrame:
     return split.groupBy("part").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n").alias("n_images"))
 
 
+def assemble(split: DataFrame, records: DataFrame, document: str = "document", image: str = "image") -> DataFrame:
+    """part, documents, images, n_documents, n_images of every part, lists sorted; a part without documents has empty lists.
+
+    The lists are what a split file holds, so a row is as large as that file.
+    """
+    own = records.select(document, image).join(split.select(document, "part"), document)
+    lists = own.groupBy("part").agg(F.array_sort(F.collect_set(document)).alias("documents"), F.array_sort(F.collect_list(image)).alias("images"))
+    kinds = dict(lists.dtypes)
+    parts = lists.sparkSession.createDataFrame([(p,) for p in SPLIT_PARTS], "part string")
+    full = parts.join(lists, "part", "left").select("part", *[F.coalesce(c, F.array().cast(kinds[c])).alias(c) for c in ("documents", "images")])
+    return full.select("*", F.size("documents").alias("n_documents"), F.size("images").alias("n_images"))
+
+
 def leaks(assigned: DataFrame, document: str = "document") -> DataFrame:
     """Documents that stand in more than one part, with the number of parts."""
     return assigned.groupBy(document).agg(F.count_distinct("part").alias("parts")).where("parts > 1")

@@ -360,7 +360,7 @@ def q_label_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT label, coalesce(sum(n) FILTER (WHERE part = 'train'), 0)::BIGINT AS train, coalesce(sum(n) FILTER (WHERE part = 'val'), 0)::BIGINT AS val, coalesce(sum(n) FILTER (WHERE part = 'test'), 0)::BIGINT AS test, sum(k) AS total FROM c GROUP BY label)
 SELECT label, train, val, test, CASE WHEN train + val + test = 0 THEN 'none' WHEN val = 0 OR test = 0 THEN 'missing' WHEN (train + val + test)::DOUBLE / total < 0.15 THEN 'rare' ELSE 'ok' END AS status FROM w""")
 def q_frequency_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _truth(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("document")), "doc_id").join(F.broadcast(_split(spark, sf_dir).select("document", "part")), "document")
+    rows = _truth(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("document")), "doc_id").join(_split(spark, sf_dir).select("document", "part"), "document")
     w = rows.groupBy("label").agg(*[F.sum((F.col("truth") & (F.col("part") == p)).cast("long")).alias(p) for p in SPLIT_PARTS], F.count(F.lit(1)).alias("total"))
     return w.select("label", *SPLIT_PARTS, L.status(F.col("label"), {p: F.col(p) for p in SPLIT_PARTS}, F.col("total"), SYNTH["min_label_share"], DEFAULTS["auto_labels"]).alias("status"))
 
@@ -595,7 +595,7 @@ def q_synth_recipe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_kernel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 37 measures, scores and verdicts of the vectors read as 8x8 pages, each enlarged twelve times."""
     side, times = 8, 12
-    v = table(spark, sf_dir, "embeddings")
+    v = table(spark, sf_dir, "embeddings").repartition(2 * spark.sparkContext.defaultParallelism)  # the kernel is the work, not the bytes
     grey = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e.cast("double") * 255 + 128))).cast("int"))
     line = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side * times - 1)), lambda y: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda x: F.array_repeat(F.element_at("g", (F.floor(y / times) * side + x + 1).cast("int")), times)))))
     hexes = F.array_join(F.transform(line, lambda b: F.lpad(F.hex(b), 2, "0")), "")

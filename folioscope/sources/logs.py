@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.trim("value") != "").select("value", F.struct("file", "block", "place").alias("ord"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at a path of any store that Spark reads; a pattern is taken to match."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return any(c in path for c in "*?[{") or at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_done(spark: SparkSession, path: str) -> DataFrame:
+    """Label records as read_labels gives them; none where no log has been begun."""
+    return read_labels(spark, path) if exists(spark, path) else spark.createDataFrame([], schemas.LABEL)
+
+
 def read_labels(spark: SparkSession, path: str, dedupe: bool = True) -> DataFrame:
     """Label records; bad lines are left out. With dedupe the last record of an image wins, at its first position."""
     rows = schemas.parse_strict(read_lines(spark, path), schemas.LABEL, ["image", "document", "labels"], F.coalesce(F.col("r.duration_s") >= 0, F.lit(True)))
@@ -28,7 +41,9 @@ def bad_lines(spark: SparkSession, path: str, ddl: str = schemas.LABEL, required
 
 
 def read_prelabels(spark: SparkSession, path: str) -> DataFrame:
-    """Prelabel records as they were written, repeats included."""
+    """Prelabel records as they were written, repeats included; none where no log has been begun."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schemas.PRELABEL + ", ord struct<file: string, block: long, place: long>")
     return schemas.parse_strict(read_lines(spark, path), schemas.PRELABEL, ["image", "document"], schemas.score_ranges("r.scores")).where("ok").select("r.*", "ord")
 
 
@@ -52,6 +67,42 @@ def read_split(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(part.alias("part"), "documents", "images")
 
 
+def read_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    """document of val and test. A missing file is an error that names it, as pages would leak into training unseen."""
+    for part in ("val", "test"):
+        if not exists(spark, f"{folder}/{part}.json"):
+            raise FileNotFoundError(f"{folder}/{part}.json")
+    rows = spark.read.schema("documents array<string>").option("multiLine", True).json([f"{folder}/{p}.json" for p in ("val", "test")])
+    return rows.select(F.explode("documents").alias("document")).distinct()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, replaced whole, in any store that Spark writes to."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_split(assembled: DataFrame, folder: str) -> None:
+    """train.json, val.json and test.json from the rows of operators.split.assemble, one part on the driver at a time."""
+    for r in assembled.toLocalIterator():
+        write_text(assembled.sparkSession, f"{folder}/{r['part']}.json", json.dumps({k: v for k, v in r.asDict().items() if k != "part"}, ensure_ascii=False, indent=2))
+
+
+def write_queue(queue: DataFrame, path: str) -> None:
+    """A JSON array of the records in order. A queue is what people label by hand, so it is small."""
+    records = [json.loads(x) for x in queue.select(F.to_json(F.struct(*queue.columns), {"ignoreNullFields": "false"}).alias("r")).toPandas()["r"]]
+    write_text(queue.sparkSession, path, json.dumps(records, ensure_ascii=False, indent=2))
+
+
+def write_manifest(df: DataFrame, path: str) -> None:
+    """Synthetic records as JSON lines; what was there goes."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
 def append(df: DataFrame, path: str) -> None:
     """Adds records as JSON lines; files appear whole or not at all."""
     df.write.mode("append").option("ignoreNullFields", False).json(path)
