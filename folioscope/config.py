@@ -53,7 +53,7 @@ DEFAULTS: dict[str, Any] = {
             "streaks": {"count": [3, 14], "depth": [18, 70], "width": [1, 4]},
         },
     },
-    "dataset": {"patches_per_page": 4, "min_mask_overlap": 0.15, "max_patch_attempts": 12},
+    "dataset": {"patches_per_page": 4, "min_ink_frac": 0.01, "min_mask_overlap": 0.15, "max_patch_attempts": 12, "brightness": 0.12, "contrast": 0.12},
     "train": {"pos_weight": "auto", "pos_weight_max": 50.0},
     "verdict": {"tau_low": 0.30, "tau_high": 0.60, "tau_unreadable": 0.50},
 }

@@ -93,6 +93,18 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * f
 
 
+def unpivoted(rows: DataFrame, metrics: list[str], signal: str) -> DataFrame:
+    """metric, x, y for every column of metrics against the signal: the pairs that spearman takes, from one wide row a page."""
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("x")) for m in metrics])
+    return rows.select(F.explode(pairs).alias("p"), F.col(signal).cast("double").alias("y")).select("p.metric", "p.x", "y")
+
+
+def correlations(rows: DataFrame, metrics: list[str], signal: str) -> DataFrame:
+    """metric, n, rho of every column of metrics with the signal; one without usable pairs has n = 0 and no rho."""
+    names = rows.sparkSession.createDataFrame([(m,) for m in metrics], "metric string")
+    return names.join(spearman(unpivoted(rows, metrics, signal)), "metric", "left").select("metric", F.coalesce("n", F.lit(0)).alias("n"), "rho")
+
+
 def ranked(correlations: DataFrame, by: str = "metric") -> DataFrame:
     """Correlations (rho, n) from the strongest, either sign; undefined ones last. There is a row for each pair of columns, so one task sorts them."""
     return correlations.orderBy(F.abs("rho").desc_nulls_last(), by)

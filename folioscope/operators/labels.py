@@ -39,6 +39,22 @@ def resume_position(queue: DataFrame, done: DataFrame, key: str, position: str =
     return todo(queue, done, key).agg(F.coalesce(F.min(position), F.lit(0)).alias(position))
 
 
+def signal_columns(prelabels: DataFrame, records: DataFrame, signals: list[str], scored: list[str], manual: list[str], key: str = "image") -> DataFrame:
+    """One wide row for each page that has both scores and recognised text: signals, scores, human_<label>, quality_score.
+
+    prelabels (key, scores, quality_score) and records (key, labels, derived) hold
+    a key once each (see last_wins); records whose derived map is null or empty
+    are left out. What a map lacks is null.
+    """
+    number = lambda m, x: F.try_element_at(m, F.lit(x)).cast("double")
+    own = records.where(F.size("derived") > 0).select(F.col(key).alias("__key"), "derived", "labels")
+    both = prelabels.join(own, F.col(key) == F.col("__key"))
+    return both.select(
+        key, *[number(F.col("derived"), x).alias(x) for x in signals], *[number(F.col("scores"), x).alias(x) for x in scored],
+        *[number(F.col("labels"), x).alias(f"human_{x}") for x in manual], "quality_score",
+    )
+
+
 def frequencies(records: DataFrame, labels: list[str], column: str = "labels") -> DataFrame:
     """label, n in the given order, zero for labels that never occur; one pass, one row of partial sums a task."""
     sums = records.agg(*[F.coalesce(F.sum(F.coalesce(F.try_element_at(F.col(column), F.lit(x)), F.lit(False)).cast("long")), F.lit(0)).alias(x) for x in labels])

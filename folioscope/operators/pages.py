@@ -71,3 +71,16 @@ def prelabels(rows: DataFrame, settings: dict[str, Any], corpus: str) -> DataFra
         S.suggested(F.col("scores"), manual, settings["labeling"]["suggest_threshold"]).alias("suggested"), "not_applicable",
         S.verdict(F.col("scores"), v["tau_low"], v["tau_high"], v["tau_unreadable"]).alias("verdict"), S.quality(F.col("scores")).alias("quality_score"), "width", "height",
     )
+
+
+# The measures that a table of a page shows, in its order.
+SHOWN = [
+    "tenengrad_norm", "tenengrad", "laplacian_var", "noise_sigma", "ink_paper_gap", "rms_contrast", "line_height_px", "source_line_height_px", "skew_deg",
+    "min_margin_frac", "glare_cluster_frac", "shadow_frac", "streak_energy", "mid_tone_frac", "dpi", "n_informative_patches",
+]
+
+
+def shown(rows: DataFrame, metrics: str = "cv_metrics") -> DataFrame:
+    """image, place, metric, value: the measures of a report that a reader sees; what a report lacks is left out."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(m).alias("metric"), F.try_element_at(F.col(metrics), F.lit(m)).alias("value")) for i, m in enumerate(SHOWN)])
+    return rows.select("image", F.explode(pairs).alias("m")).select("image", "m.*").where("value is not null")

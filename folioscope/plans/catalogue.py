@@ -18,6 +18,7 @@ from ..functions import scoring as S
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import labels as L
+from ..operators import patches as T
 from ..operators import pages as G
 from ..operators import pixels as P
 from ..operators import split as D
@@ -602,3 +603,76 @@ def q_kernel_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = v.select(F.col("vec_id").cast("string").alias("path"), grey.alias("g")).select("path", F.lit(0).alias("page"), F.lit(side * times).alias("height"), F.lit(side * times).alias("width"), F.lit(0.0).alias("dpi"), F.lit(side * times).alias("original_width"), F.unhex(hexes).alias("gray"))
     small = DEFAULTS | {"patch_size": 48, "grid": {"rows": 2, "cols": 2}}
     return G.reports(G.scored(G.raw_metrics(px, small), small), small).select("image", "verdict", "quality_score", F.to_json("cv_metrics").alias("cv_metrics"))
+
+
+# Correlations of every column with what recognition says.
+_SIGNS, _HUMAN = ("mean_confidence", "nonword_ratio"), manual_labels(DEFAULTS)
+_RECORDS = "CASE WHEN doc_id % 5 <> 0 THEN (n_chars * 7 % 1009) / 1009.0::DOUBLE END AS mean_confidence, CASE WHEN doc_id % 3 <> 0 THEN (n_chars * 13 % 1013) / 1013.0::DOUBLE END AS nonword_ratio"
+_SIGNAL_COLUMNS = f"""{_PRE}, recs AS (SELECT doc_id, {_RECORDS}, (quality = 1)::INT::DOUBLE AS h0, (toxic = 1)::INT::DOUBLE AS h1 FROM documents JOIN labels USING (doc_id)),
+sc AS (SELECT doc_id, mean_confidence, nonword_ratio, {', '.join(SCORED)}, {', '.join(f"{f'h{i}' if i < 2 else 'NULL::DOUBLE'} AS human_{x}" for i, x in enumerate(_HUMAN))}, 1 - {_TOP} AS quality_score FROM pre JOIN recs USING (doc_id) WHERE mean_confidence IS NOT NULL OR nonword_ratio IS NOT NULL)"""
+
+
+def _signal_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's log line stands twice, the first time without any label: the last one wins."""
+    d, human = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "__id")
+    signals = [F.when(F.col("doc_id") % keep != 0, (F.col("n_chars") * by % mod) / F.lit(float(mod))) for keep, by, mod in ((5, 7, 1009), (3, 13, 1013))]
+    derived = F.map_filter(F.create_map(*[x for k, v in zip(_SIGNS, signals, strict=True) for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+    given = F.create_map(F.lit(_HUMAN[0]), F.col("quality") == 1, F.lit(_HUMAN[1]), F.col("toxic") == 1)
+    turns = F.explode(F.sequence(F.lit(0), F.lit(1))).alias("turn")
+    log = d.join(human, F.col("doc_id") == F.col("__id")).select(F.col("doc_id").alias("image"), turns, derived.alias("derived"), given.alias("labels"))
+    log = log.withColumn("labels", F.when(F.col("turn") == 1, F.col("labels")))
+    pre = _pre(spark, sf_dir).withColumn("quality_score", 1 - S.suspicion(F.col("scores")))
+    return L.signal_columns(pre, L.last_wins(log, "image", ["turn"]), list(_SIGNS), SCORED, _HUMAN)
+
+
+@query(f"WITH {_SIGNAL_COLUMNS} SELECT doc_id AS image, mean_confidence, nonword_ratio, {', '.join(SCORED)}, {', '.join(f'human_{x}' for x in _HUMAN)}, round(quality_score, 9) AS quality_score FROM sc")
+def q_signal_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _signal_columns(spark, sf_dir).withColumn("quality_score", F.round("quality_score", 9))
+
+
+_COLUMNS = [*SCORED, "quality_score", *(f"human_{x}" for x in _HUMAN)]
+
+
+@query(f"""WITH {_SIGNAL_COLUMNS}, names AS (SELECT unnest([{', '.join(f"'{x}'" for x in _COLUMNS)}]) AS metric), pairs AS ({' UNION ALL '.join(f"SELECT '{x}' AS metric, {x} AS x, mean_confidence AS y FROM sc WHERE {x} IS NOT NULL AND mean_confidence IS NOT NULL" for x in _COLUMNS)}),
+r AS (SELECT metric, x, y, rank() OVER (PARTITION BY metric ORDER BY x) + (count(*) OVER (PARTITION BY metric, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY metric ORDER BY y) + (count(*) OVER (PARTITION BY metric, y) - 1) / 2.0::DOUBLE AS ry FROM pairs),
+c AS (SELECT metric, count(*) AS n, CASE WHEN count(*) >= 3 AND count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN round(corr(rx, ry), 9) END AS rho FROM r GROUP BY metric)
+SELECT metric, coalesce(n, 0) AS n, rho, row_number() OVER (ORDER BY abs(rho) DESC NULLS LAST, metric) AS rank FROM names LEFT JOIN c USING (metric)""")
+def q_correlation_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every score and every human label against the confidence; a row for each of the columns, so one task ranks them."""
+    got = E.correlations(_signal_columns(spark, sf_dir), _COLUMNS, "mean_confidence").withColumn("rho", F.round("rho", 9))
+    return got.select("metric", "n", "rho", F.row_number().over(Window.orderBy(F.abs("rho").desc_nulls_last(), "metric")).cast("long").alias("rank"))
+
+
+@query(f"WITH {_PRE}, {_LONG} SELECT label, doc_id, nth FROM (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY doc_id) AS nth FROM long WHERE score >= 0.85) WHERE nth <= 10")
+def q_sheet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that a contact sheet of each label shows."""
+    marked = _pre(spark, sf_dir).select("image", F.explode("scores").alias("label", "score")).where("score >= 0.85")
+    return L.first_per_label(marked).select("label", F.col("image").alias("doc_id"), F.col("nth").cast("long").alias("nth"))
+
+
+@query(f"WITH RECURSIVE {_SPLIT}, parts(part) AS (VALUES ('train'), ('val'), ('test')), own AS (SELECT part, document, doc_id FROM split JOIN documents ON source = document) SELECT part, coalesce(string_agg(DISTINCT document, ',' ORDER BY document), '') AS documents, coalesce(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id), '') AS images, count(DISTINCT document) AS n_documents, count(doc_id) AS n_images FROM parts LEFT JOIN own USING (part) GROUP BY part")
+def q_split_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the three split files hold."""
+    records = table(spark, sf_dir, "documents").select(F.col("source").alias("document"), F.col("doc_id").alias("image"))
+    lists = D.assemble(_split(spark, sf_dir), records)
+    return lists.select("part", F.array_join("documents", ",").alias("documents"), F.array_join(F.col("images").cast("array<string>"), ",").alias("images"), *[F.col(c).cast("long").alias(c) for c in ("n_documents", "n_images")])
+
+
+def _patch_target(label: str) -> str:
+    given = {"blur": "label % 2 = 0", "glare": "label > 4 AND label > 7", "shadow": "label < 3"}.get(label, "false")
+    return f"CASE WHEN {given} THEN '1' ELSE '0' END"
+
+
+@query(f"""WITH {_PX}, m AS (SELECT page, count(*) AS n_pixels, round(avg(CAST((v / 255.0::DOUBLE - 0.449::DOUBLE) / 0.226::DOUBLE AS FLOAT)::DOUBLE), 6) AS mean_pixel FROM px GROUP BY page)
+SELECT vec_id::VARCHAR AS image, 0 AS step, 8 AS x1, 8 AS y1, n_pixels, mean_pixel, concat_ws(',', {', '.join(_patch_target(x) for x in DEFAULTS['labels'])}) AS target FROM embeddings JOIN m ON page = vec_id""")
+def q_training_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors read as 8x8 pages of one validation patch each; a glare's mask covers all of it or nothing, shadows have none."""
+    v = table(spark, sf_dir, "embeddings").repartition(2 * spark.sparkContext.defaultParallelism)
+    grey = F.transform("embedding", lambda e: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(e.cast("double") * 255 + 128))).cast("int"))
+    given = F.create_map(F.lit("blur"), F.col("label") % 2 == 0, F.lit("glare"), F.col("label") > 4, F.lit("shadow"), F.col("label") < 3)
+    mask = F.array(F.struct(F.lit("glare").alias("label"), F.lit(1).alias("height"), F.lit(1).alias("width"), F.unhex(F.when(F.col("label") > 7, "FF").otherwise("00")).alias("mask")))
+    hexes = F.array_join(F.transform(grey, lambda b: F.lpad(F.hex(b), 2, "0")), "")
+    pages = v.select(F.col("vec_id").cast("string").alias("image"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.unhex(hexes).alias("gray"), given.alias("labels"), mask.alias("masks"))
+    got = T.patches(pages, DEFAULTS | {"patch_size": 8}, train=False)
+    total = F.aggregate("pixels", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    return got.select("image", "step", "x1", "y1", F.size("pixels").cast("long").alias("n_pixels"), F.round(total / F.size("pixels"), 6).alias("mean_pixel"), F.array_join(F.col("target").cast("array<int>").cast("array<string>"), ",").alias("target"))

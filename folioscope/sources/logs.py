@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -106,3 +108,16 @@ def write_manifest(df: DataFrame, path: str) -> None:
 def append(df: DataFrame, path: str) -> None:
     """Adds records as JSON lines; files appear whole or not at all."""
     df.write.mode("append").option("ignoreNullFields", False).json(path)
+
+
+def append_metrics(spark: SparkSession, path: str, row: dict, fields: list[str]) -> None:
+    """Adds a line to a small CSV log, which begins with the names of its fields; a field that row lacks is empty, others are left out."""
+    buffer = io.StringIO()
+    out = csv.DictWriter(buffer, fields, restval="", extrasaction="ignore", lineterminator="\n")
+    before = ""
+    if exists(spark, path):
+        before = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    if not before:
+        out.writeheader()
+    out.writerow({k: v for k, v in row.items() if v is not None})
+    write_text(spark, path, before + ("" if before.endswith("\n") or not before else "\n") + buffer.getvalue())

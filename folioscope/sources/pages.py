@@ -138,14 +138,16 @@ def normalised(img: np.ndarray, dpi: float | None, target: float, upscale: bool)
     return img, target
 
 
+_FIELDS = pa.schema([("path", pa.string()), ("page", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("dpi", pa.float64()), ("original_width", pa.int32()), ("original_height", pa.int32()), ("gray", pa.binary()), ("error", pa.string())])
+
+
 def load_pages(files: DataFrame, target_dpi: float = 300, fallback: str = "a4", upscale: bool = False) -> DataFrame:
     """Rows of PAGE from (path, content): one for each page; what can't be read has an error and no pixels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("page", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("dpi", pa.float64()), ("original_width", pa.int32()), ("original_height", pa.int32()), ("gray", pa.binary()), ("error", pa.string())])
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                row = dict.fromkeys(schema.names) | {"path": path, "page": 0}
+                row = dict.fromkeys(_FIELDS.names) | {"path": path, "page": 0}
                 try:
                     if not data:
                         raise ValueError("empty file")
@@ -155,23 +157,60 @@ def load_pages(files: DataFrame, target_dpi: float = 300, fallback: str = "a4",
                     row |= {"height": new.shape[0], "width": new.shape[1], "dpi": dpi, "original_width": w, "original_height": h, "gray": np.ascontiguousarray(new).tobytes()}
                 except ValueError as e:
                     row["error"] = f"unsupported: {path.rpartition('.')[2].lower()}" if str(e) == "not a PNG" else str(e)
-                yield pa.RecordBatch.from_pylist([row], schema)
+                yield pa.RecordBatch.from_pylist([row], _FIELDS)
 
     return files.select("path", "content").mapInArrow(run, PAGE)
 
 
-def load_rasters(spark: SparkSession, root: str, fallback: str = "a4") -> DataFrame:
-    """Rows of PAGE for what Spark's image source reads (jpeg, png, bmp, gif); damaged files are left out. No resolution in it, so the fallback holds."""
-    i = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", True).load(root).select("image.*")
-    dpi = F.greatest("height", "width") / F.lit(A4_INCHES) if fallback == "a4" else F.lit(0.0)
+def load_page(files: DataFrame, index: int = 0, **options) -> DataFrame:
+    """One page of every file, as load_pages gives it. Rasters hold one page, so another index is an error at once."""
+    if index:
+        raise IndexError(f"page {index}: the file has one page")
+    return load_pages(files, **options)
+
+
+#: Up to this many files their resolutions (some 200 bytes each) go to every executor, so that pixels don't move.
+BROADCAST_FILES = 100_000
+HEAD_BYTES = 64 << 10  # holds the resolution of a JPEG; a TIFF may keep its directory anywhere, so it is read whole
+
 
-    def grey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def resolutions(spark: SparkSession, root: str) -> DataFrame:
+    """path, dpi of the raster files below root, from their headers; null where they say nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for h, w, n, data in zip(*(b.column(c).to_pylist() for c in ("height", "width", "nChannels", "data")), strict=True):
-                px = np.frombuffer(data, np.uint8).reshape(h, w, n)
-                out.append((px[:, :, 0] if n == 1 else np.rint(px[:, :, :3] @ GREY[::-1]).astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("origin"), b.column("height"), b.column("width"), b.column("dpi"), pa.array(out, pa.binary())], ["path", "height", "width", "dpi", "gray"])
-
-    rows = i.withColumn("dpi", dpi.cast("double")).mapInArrow(grey, "path string, height int, width int, dpi double, gray binary")
-    return rows.select("path", F.lit(0).alias("page"), "height", "width", "dpi", F.col("width").alias("original_width"), F.col("height").alias("original_height"), "gray", F.lit(None).cast("string").alias("error"))
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([read_dpi(x or b"") for x in b.column("head").to_pylist()], pa.float64())], ["path", "dpi"])
+
+    files = scan(spark, root, SUFFIXES)
+    head = F.when(F.lower("path").rlike(r"\.tiff?$"), F.col("content")).otherwise(F.substring("content", 1, HEAD_BYTES))
+    return files.select("path", head.alias("head")).mapInArrow(run, "path string, dpi double")
+
+
+def load_rasters(spark: SparkSession, root: str, target_dpi: float = 300, fallback: str = "a4", upscale: bool = False) -> DataFrame:
+    """Rows of PAGE for what Spark's image source reads (jpeg, png, bmp, gif), at the target resolution.
+
+    The resolution comes from the file's header, or from the fallback. A file that
+    can't be decoded is a row with an error and no pixels.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731 - the two sources spell local paths differently
+    i = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root).select("image.*")
+    known = resolutions(spark, root).select(plain(F.col("path")).alias("name"), "dpi")
+    few = scan(spark, root, SUFFIXES).select("path").limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    rows = i.withColumn("name", plain(F.col("origin"))).join(F.broadcast(known) if few else known, "name", "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (r,) = batch.slice(k, 1).to_pylist()
+                row = dict.fromkeys(_FIELDS.names) | {"path": r["origin"], "page": 0}
+                h, w, n = r["height"], r["width"], r["nChannels"]
+                if h <= 0 or w <= 0 or len(r["data"] or b"") != h * w * n:
+                    row["error"] = "damaged or unsupported image"
+                else:
+                    px = np.frombuffer(r["data"], np.uint8).reshape(h, w, n)
+                    img = px[:, :, 0] if n == 1 else np.rint(px[:, :, :3] @ GREY[::-1]).astype(np.uint8)
+                    new, dpi = normalised(img, r["dpi"] or guess_dpi(h, w, fallback), target_dpi, upscale)
+                    row |= {"height": new.shape[0], "width": new.shape[1], "dpi": dpi, "original_width": w, "original_height": h, "gray": np.ascontiguousarray(new).tobytes()}
+                yield pa.RecordBatch.from_pylist([row], _FIELDS)
+
+    return rows.select("origin", "height", "width", "nChannels", "data", "dpi").mapInArrow(run, PAGE)
