@@ -46,7 +46,8 @@ SINGLE = 23  # commonest words that are classes of their own
 SUFFIXES = CLASSES - 1 - SINGLE
 HASHED = 1 << 12
 WINDOW = 16
-CHUNK = 1 << 14
+CHUNK = 1 << 14  # tokens of a gradient step
+PIECE = 1 << 12  # tokens worked on at a time, so that their rows stay in the cache
 ROUNDS = 2
 RATE = 0.3
 END = np.uint64(0x1D2C3B4A59687786)
@@ -62,22 +63,26 @@ def suffix_class(lower: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.n
 
 @dataclass
 class Tokens:
-    """The tokens of some texts in order, each text closed by an end: distinct names, places among them, suffix classes."""
+    """The tokens of some texts in order, each text closed by an end: names (distinct ones, or all), places among them, suffix classes."""
 
     distinct: np.ndarray
     place: np.ndarray
-    suffix: np.ndarray  # of the distinct ones; SUFFIXES for the end
+    suffix: np.ndarray  # of each name; SUFFIXES for the end
     at: np.ndarray  # bounds of texts
 
 
-def tokens(data: np.ndarray, at: np.ndarray) -> Tokens:
+def tokens(data: np.ndarray, at: np.ndarray, unique: bool = True) -> Tokens:
+    """unique: whether to sort for the distinct names, which counting needs and training doesn't."""
     lower, start, size = words(data, at)
     bounds = np.searchsorted(start, at)
     n = len(at) - 1
     named = np.insert(word_names(lower, start, size), bounds[1:], END)
     kinds = np.insert(suffix_class(lower, start, size), bounds[1:], np.uint32(SUFFIXES))
+    bounds = bounds + np.arange(n + 1)
+    if not unique:
+        return Tokens(named, np.arange(len(named)), kinds, bounds)
     distinct, first, place = np.unique(named, return_index=True, return_inverse=True)
-    return Tokens(distinct, place, kinds[first], bounds + np.arange(n + 1))
+    return Tokens(distinct, place, kinds[first], bounds)
 
 
 def is_held_out(doc_id: int | None, folds: int = 5, fold: int = 1) -> bool:
@@ -95,7 +100,7 @@ class Counts:
     single: np.ndarray  # names, sorted
 
     def classes(self, t: Tokens) -> np.ndarray:
-        """The class of each distinct token."""
+        """The class of each name."""
         out = np.where(t.suffix == SUFFIXES, 0, 1 + SINGLE + t.suffix).astype(np.int64)
         if len(self.single):
             k = np.minimum(np.searchsorted(self.single, t.distinct), len(self.single) - 1)
@@ -208,45 +213,67 @@ class Contexts:
     def windows(self, a: int, b: int) -> np.ndarray:
         """For each of tokens a to b, the share of every class among the words of its window."""
         n, span = b - a, self.span[a:b]
-        out = np.zeros(n * CLASSES, np.uint8)  # counts up to WINDOW
-        for k in range(1, WINDOW + 1):  # places are distinct for each k
-            i = np.flatnonzero(span >= k)
-            out[i * CLASSES + self.cls[i + (a - k)]] += 1
-        return out.reshape(n, CLASSES) / np.maximum(span, 1)[:, None].astype(np.float32)
+        before = np.full(n + WINDOW, CLASSES, np.int64)
+        first = max(0, a - WINDOW)
+        before[WINDOW - (a - first) :] = self.cls[first:b]
+        at = np.lib.stride_tricks.sliding_window_view(before, WINDOW)[:n] + np.arange(0, n * CLASSES, CLASSES)[:, None]
+        if len(short := np.flatnonzero(span < WINDOW)):  # places before the text count in a cell beyond the rows
+            at[short] = np.where(np.arange(WINDOW, 0, -1) <= span[short, None], at[short], n * CLASSES)
+        out = np.zeros((n + 1) * CLASSES, np.float32)  # whole numbers up to WINDOW
+        np.add.at(out, at.reshape(-1), np.float32(1))
+        out = out[: n * CLASSES].reshape(n, CLASSES)
+        out /= np.maximum(span, 1)[:, None].astype(np.float32)
+        return out
+
+    @staticmethod
+    def joined(w: Weights) -> np.ndarray:
+        """The class two before is part of the pair, so its row, the bias and the pair's row are one."""
+        return (w.tables["pair"].reshape(-1, CLASSES + 1, CLASSES) + (w.tables["skip"] + w.tables["bias"])).reshape(-1, CLASSES)
 
-    def logits(self, w: Weights, a: int, b: int, windows: np.ndarray | None = None) -> np.ndarray:
+    def logits(self, w: Weights, a: int, b: int, windows: np.ndarray | None = None, joined: np.ndarray | None = None) -> np.ndarray:
         x = (self.windows(a, b) if windows is None else windows) @ w.tables["window"][:CLASSES]
-        x += w.tables["word"][self.word[a:b]]
-        # the class two before is part of the pair, so its row, the bias and the pair's row are one
-        x += (w.tables["pair"].reshape(-1, CLASSES + 1, CLASSES) + (w.tables["skip"] + w.tables["bias"])).reshape(-1, CLASSES)[self.pair[a:b]]
+        x += w.tables["word"].take(self.word[a:b], axis=0)
+        x += (self.joined(w) if joined is None else joined).take(self.pair[a:b], axis=0)
         return x
 
     def log_class(self, w: Weights) -> np.ndarray:
         """Natural log probability of every token's class."""
-        out = np.zeros(len(self.cls))
-        for a in range(0, len(out), CHUNK):
-            b = min(a + CHUNK, len(out))
-            x = self.logits(w, a, b)
-            x -= x.max(axis=1, keepdims=True)
+        out, joined = np.zeros(len(self.cls)), self.joined(w)
+        for a in range(0, len(out), PIECE):
+            b = min(a + PIECE, len(out))
+            x = _bounded(self.logits(w, a, b, joined=joined))
             own = x[np.arange(b - a), self.cls[a:b]].astype(np.float64)
             out[a:b] = own - np.log(np.exp(x, out=x).sum(axis=1, dtype=np.float64))
         return out
 
-    def gradient(self, w: Weights, a: int, b: int) -> np.ndarray:
-        """Of the mean log probability of tokens a to b."""
-        windows = self.windows(a, b)
-        x = self.logits(w, a, b, windows)
+    def gradient(self, w: Weights, a: int, b: int, into: Weights | None = None) -> np.ndarray:
+        """Of the mean log probability of tokens a to b; into is room for it, whatever it held before."""
+        into = into or Weights(np.empty(Weights.size(), np.float32))
+        into.flat[:] = 0
+        joined, share = self.joined(w), np.float32(1 / (b - a))
+        for i in range(a, b, PIECE):
+            j = min(i + PIECE, b)
+            windows = self.windows(i, j)
+            x = _bounded(self.logits(w, i, j, windows, joined))
+            np.exp(x, out=x)
+            x *= -share / (x @ ONES)
+            x[np.arange(j - i), self.cls[i:j]] += share
+            _add_rows(into.tables["word"], self.word[i:j], x)
+            _add_rows(into.tables["pair"], self.pair[i:j], x)
+            into.tables["window"][:CLASSES] += windows.T @ x
+        into.tables["skip"] += into.tables["pair"].reshape(-1, CLASSES + 1, CLASSES).sum(axis=0)
+        into.tables["bias"][0] = into.tables["skip"].sum(axis=0)
+        return into.flat
+
+
+ONES = np.ones((CLASSES, 1), np.float32)
+
+
+def _bounded(x: np.ndarray) -> np.ndarray:
+    """x, or x less the largest of each row where exponentials of 32 bits could overflow or vanish."""
+    if len(x) and (x.max() > 60 or x.min() < -60):
         x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x *= np.float32(-1 / (b - a)) / x.sum(axis=1, keepdims=True)
-        x[np.arange(b - a), self.cls[a:b]] += np.float32(1 / (b - a))
-        out = Weights(np.zeros(Weights.size(), np.float32))
-        _add_rows(out.tables["word"], self.word[a:b], x)
-        _add_rows(out.tables["pair"], self.pair[a:b], x)
-        out.tables["skip"] += out.tables["pair"].reshape(-1, CLASSES + 1, CLASSES).sum(axis=0)
-        out.tables["bias"][0] = out.tables["skip"].sum(axis=0)
-        out.tables["window"][:CLASSES] = windows.T @ x
-        return out.flat
+    return x
 
 
 def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
@@ -274,13 +301,15 @@ def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, share: float =
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             own = sent.value.copy()
             w, squares, seen = Weights(own), np.full(len(own), 1e-6, np.float32), 0
+            into, step = Weights(np.zeros(len(own), np.float32)), np.zeros(len(own), np.float32)
             for part in slices(batches):
-                t = tokens(*text_buffer(part.column("text")))
+                t = tokens(*text_buffer(part.column("text")), unique=False)
                 c = Contexts(t, counts.classes(t))
                 for a in range(0, len(c.cls), CHUNK):
-                    g = c.gradient(w, a, min(a + CHUNK, len(c.cls)))
-                    squares += g * g
-                    own += np.float32(RATE) * g / np.sqrt(squares)
+                    g = c.gradient(w, a, min(a + CHUNK, len(c.cls)), into)
+                    squares += np.multiply(g, g, out=step)
+                    np.sqrt(squares, out=step)
+                    own += np.divide(np.multiply(g, np.float32(RATE), out=g), step, out=step)
                 seen += len(c.cls)
             if seen:
                 cut = [own[i : i + size].tobytes() for i in range(0, len(own), size)]
