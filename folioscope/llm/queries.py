@@ -1,4 +1,4 @@
-"""Queries op1 to op10 with the parameters meant for production, each over its whole table."""
+"""Queries op1 to op13 with the parameters meant for production, each over its whole table."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontamination, exact_dedup, html_text, language, maxent_lm, quality, shingle_join, substring_dedup, token_files
+from . import bpe, centroids, chat_format, decontamination, exact_dedup, html_text, language, maxent_lm, quality, resampling, shingle_join, substring_dedup, token_files
 from .common import table
 
 
@@ -51,6 +52,22 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    return chat_format.read_back(chat_format.formatted(rows.unionByName(more)))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    target = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "doc_id")
+    return resampling.resample(table(spark, sf_dir, "documents"), target.select("doc_id", "text"), n_words=2, buckets=10_000, share=25, least=20, seed=7)
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=16, rounds=3, seed=1, size=64, scale=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_quality": op2_quality,
@@ -62,6 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_chat_format": op11_chat_format,
+    "op12_resample": op12_resample,
+    "op13_centroids": op13_centroids,
 }
 
-ORACLES: dict[str, str] = {"op10_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_chat_format": chat_format.ORACLE_SQL,
+    "op12_resample": resampling.ORACLE_SQL,
+    "op13_centroids": centroids.ORACLE_SQL,
+}
