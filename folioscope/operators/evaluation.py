@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
+from .ordered import attach, average_ranks, quantiles, running
+
 
 def _share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -24,11 +27,10 @@ def precision_recall(rows: DataFrame, threshold: float = 0.5) -> DataFrame:
 def average_precision(rows: DataFrame) -> DataFrame:
     """label, average_precision: precision weighted by the gain in recall over distinct scores; null without both classes.
 
-    Rows are summed by distinct score first, so the running sums go over scores, not rows.
+    Rows are summed by distinct score first, and the running sums go over ranges of scores.
     """
     by = rows.groupBy("label", "score").agg(F.sum(F.col("truth").cast("long")).alias("tp"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("label").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.withColumn("cum_tp", F.sum("tp").over(w)).withColumn("cum_n", F.sum("n").over(w))
+    run = running(by, ["label"], [F.desc("score")], {"cum_tp": "tp", "cum_n": "n"})
     return run.groupBy("label").agg(F.sum(F.col("tp") * F.col("cum_tp").cast("double") / F.col("cum_n")).alias("s"), F.sum("tp").alias("pos"), F.sum("n").alias("n")).select("label", F.when((F.col("pos") > 0) & (F.col("pos") < F.col("n")), F.col("s") / F.col("pos")).alias("average_precision"))
 
 
@@ -46,23 +48,29 @@ def metric_table(metrics: list[dict]) -> str:
     return "\n".join(lines)
 
 
-def average_rank(column: str, partition: list[str]) -> Column:
-    """Ranks from 1, equal values at the mean of theirs."""
-    w = Window.partitionBy(*partition)
-    return F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*partition, column)) - 1) / F.lit(2.0)
-
-
 def spearman(rows: DataFrame, x: str = "x", y: str = "y", by: list[str] | None = None) -> DataFrame:
-    """rho and n by group; null with fewer than three pairs or a constant side. Non-finite pairs are left out."""
+    """rho and n by group; null with fewer than three pairs or a constant side. Non-finite pairs are left out.
+
+    Equal pairs are counted first. Both sides' distinct values are ranked over
+    ranges of values, and the ranks come back to the pairs by value, hot values by
+    broadcast. Centred ranks make a constant side exactly constant.
+    """
     by = by or ["metric"]
-    ok = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    ranked = ok.withColumn("__rx", average_rank(x, by)).withColumn("__ry", average_rank(y, by))
-    x, y = F.col("__rx"), F.col("__ry")
-    sums = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"), F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"))
-    n = F.col("n")
+    usable = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))) for c in (x, y)]
+    pairs = rows.where(usable[0] & usable[1]).groupBy(*by, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).agg(F.count(F.lit(1)).alias("n"))
+    pairs = written(pairs, "pairs")
+    total = pairs.count()
+    sides = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("__x").alias("v")), F.struct(F.lit(1).alias("side"), F.col("__y").alias("v"))))
+    values = pairs.select(*by, sides.alias("s"), "n").select(*by, "s.side", "s.v", "n").groupBy(*by, "side", "v").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
+    ranks = average_ranks(values, [*by, "side"], "v", keep="rows")
+    ranks = written(ranks, "ranks")
+    side = lambda i, name: ranks.where(F.col("side") == i).select(*[F.col(c).alias(f"__k{j}") for j, c in enumerate(by)], "v", "rows", F.col("centred").alias(name))
+    keys = {c: f"__k{j}" for j, c in enumerate(by)}
+    both = attach(attach(pairs, side(0, "__rx"), keys | {"__x": "v"}, total, "rows"), side(1, "__ry"), keys | {"__y": "v"}, total, "rows")
+    n, a, b = F.col("n"), F.col("__rx"), F.col("__ry")
+    sums = both.groupBy(*by).agg(F.sum("n").alias("n"), F.sum(n * a * a).alias("sxx"), F.sum(n * b * b).alias("syy"), F.sum(n * a * b).alias("sxy"))
     # The built-in correlation divides by zero for a constant side under ANSI rules.
-    rho = F.try_divide(n * F.col("sxy") - F.col("sx") * F.col("sy"), F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy"))))
-    return sums.select(*by, "n", F.when(n >= 3, rho).alias("rho"))
+    return sums.select(*by, "n", F.when(n >= 3, F.try_divide(F.col("sxy"), F.sqrt("sxx") * F.sqrt("syy"))).alias("rho"))
 
 
 def spearman_p(rho: float, n: int) -> float:
@@ -153,8 +161,7 @@ def calibrate(values: DataFrame, scores: dict[str, dict], good_pct: float = 60.0
     """label, metric, good, bad from values (metric, value): exact percentiles, mirrored where more is worse; equal ones give no row."""
     spark = values.sparkSession
     want = spark.createDataFrame([(k, a["metric"], bool(a["good"] > a["bad"])) for k, a in scores.items()], "label string, metric string, down boolean")
-    p = [good_pct / 100, bad_pct / 100, 1 - good_pct / 100, 1 - bad_pct / 100]
-    q = values.where("value is not null").groupBy("metric").agg(F.expr(f"percentile(value, array({', '.join(f'{x:.10g}D' for x in p)}))").alias("q"))
+    q = quantiles(values, ["metric"], "value", [good_pct / 100, bad_pct / 100, 1 - good_pct / 100, 1 - bad_pct / 100])
     out = q.join(F.broadcast(want), "metric").select("label", "metric", F.when(F.col("down"), F.col("q")[0]).otherwise(F.col("q")[2]).alias("good"), F.when(F.col("down"), F.col("q")[1]).otherwise(F.col("q")[3]).alias("bad"))
     return out.where("good <> bad").select("label", "metric", F.round("good", 4).alias("good"), F.round("bad", 4).alias("bad"))
 

@@ -23,6 +23,7 @@ from ..operators import pages as G
 from ..operators import pixels as P
 from ..operators import split as D
 from ..operators import synth as Y
+from ..operators.ordered import quantiles
 
 OCR, SYNTH, VERDICT = DEFAULTS["ocr"], DEFAULTS["synth"], DEFAULTS["verdict"]
 SCORED = list(DEFAULTS["scores"])
@@ -438,7 +439,8 @@ def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_VALUES} SELECT metric, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(min(value), 6) AS low, round(max(value), 6) AS high FROM vals GROUP BY metric")
 def q_metric_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _values(spark, sf_dir).groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.round(F.expr("percentile(value, 0.5D)"), 6).alias("median"), F.round(F.min("value"), 6).alias("low"), F.round(F.max("value"), 6).alias("high"))
+    q = quantiles(_values(spark, sf_dir), ["metric"], "value", [0.5])
+    return q.select("metric", "n", F.round(F.col("q")[0], 6).alias("median"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 @query(f"""WITH {_VALUES}, want(label, metric, down) AS (VALUES {', '.join(f"('{k}', '{a['metric']}', {str(a['good'] > a['bad']).lower()})" for k, a in DEFAULTS['scores'].items())}),
