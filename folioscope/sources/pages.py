@@ -1,15 +1,16 @@
 """Page images as rows: files are listed and read by Spark, decoded in Arrow batches.
 
-PNG (8-bit grey, RGB, with or without alpha, palette) is decoded here; other
-rasters go through Spark's own image source. PDF and WebP have no reader in this
-environment and come out as rows with an error, not as missing rows.
+PNG and TIFF are decoded in `decoders`; other rasters go through Spark's own image
+source. `sources.files` has the entry for a folder of all formats. PDF and WebP have
+no reader in this environment and come out as rows with an error, not as missing rows.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from ..functions import raster as R
 from ..schemas import PAGE
+from .decoders import GREY, decode_png, decode_tiff, png_chunks, tiff_pages
 
 SUFFIXES = ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp")
 A4_INCHES = 297 / 25.4
-GREY = np.array([0.299, 0.587, 0.114])
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (*SUFFIXES, "pdf")) -> DataFrame:
@@ -38,69 +39,12 @@ def encode_png(img: np.ndarray, dpi: float | None = None) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + size + chunk(b"IDAT", zlib.compress(raw, 3)) + chunk(b"IEND", b"")
 
 
-def _chunks(data: bytes) -> Iterator[tuple[bytes, bytes]]:
-    at = 8
-    while at + 8 <= len(data):
-        n, kind = struct.unpack(">I4s", data[at : at + 8])
-        yield kind, data[at + 8 : at + 8 + n]
-        at += 12 + n
-
-
-def decode_png(data: bytes) -> np.ndarray:
-    """The grey page; ValueError for what isn't a readable PNG."""
-    if data[:8] != b"\x89PNG\r\n\x1a\n":
-        raise ValueError("not a PNG")
-    w = h = depth = kind = lace = 0
-    body, palette = b"", None
-    for name, part in _chunks(data):
-        if name == b"IHDR":
-            w, h, depth, kind, _, _, lace = struct.unpack(">IIBBBBB", part)
-        elif name == b"PLTE":
-            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
-        elif name == b"IDAT":
-            body += part
-    bands = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(kind, 0)
-    if depth != 8 or lace or not bands or not w or not h:
-        raise ValueError("unsupported PNG")
-    try:
-        raw = np.frombuffer(zlib.decompress(body), np.uint8)
-    except zlib.error as e:
-        raise ValueError("damaged PNG") from e
-    if raw.size < h * (w * bands + 1):
-        raise ValueError("short PNG")
-    lines = raw[: h * (w * bands + 1)].reshape(h, -1)
-    out = np.zeros((h + 1, w * bands), np.uint8)
-    for y in range(h):
-        f, line, up = lines[y, 0], lines[y, 1:], out[y]
-        if f == 0:
-            out[y + 1] = line
-        elif f == 2:
-            out[y + 1] = line + up
-        elif f == 1:
-            out[y + 1] = line.reshape(-1, bands).cumsum(0, dtype=np.uint8).ravel()
-        else:
-            own = out[y + 1]
-            for x in range(len(line)):
-                left = int(own[x - bands]) if x >= bands else 0
-                if f == 3:
-                    guess = (left + int(up[x])) // 2
-                else:
-                    corner = int(up[x - bands]) if x >= bands else 0
-                    p = left + int(up[x]) - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - int(up[x])), 1, int(up[x])), (abs(p - corner), 2, corner))[2]
-                own[x] = (int(line[x]) + guess) & 255
-    px = out[1:].reshape(h, w, bands)
-    if kind == 3:
-        px = palette[px[:, :, 0]]
-    return px[:, :, 0] if kind in (0, 4) else np.rint(px[:, :, :3] @ GREY).astype(np.uint8)
-
-
 def read_dpi(data: bytes) -> float | None:
     """Dots per inch from PNG, JPEG or TIFF headers; 72 and less say nothing."""
     dpi = None
     try:
         if data[:4] == b"\x89PNG":
-            for kind, part in _chunks(data):
+            for kind, part in png_chunks(data):
                 if kind == b"pHYs" and part[8] == 1:
                     dpi = struct.unpack(">I", part[:4])[0] * 0.0254
                 if kind == b"IDAT":
@@ -141,23 +85,45 @@ def normalised(img: np.ndarray, dpi: float | None, target: float, upscale: bool)
 _FIELDS = pa.schema([("path", pa.string()), ("page", pa.int32()), ("height", pa.int32()), ("width", pa.int32()), ("dpi", pa.float64()), ("original_width", pa.int32()), ("original_height", pa.int32()), ("gray", pa.binary()), ("error", pa.string())])
 
 
+def decoded(path: str, read: Callable[[int, int], bytes], size: int, options: dict[str, Any], first: int = 0, last: int | None = None, only: int | None = None) -> Iterator[dict[str, Any]]:
+    """Rows of PAGE for pages first to last of a PNG or TIFF (all of them, or one index), by reads of (offset, bytes)."""
+    blank = dict.fromkeys(_FIELDS.names) | {"path": path, "page": only or first}
+    try:
+        if not size:
+            raise ValueError("empty file")
+        start = read(0, 8)
+        if start[:4] in (b"II*\0", b"MM\0*"):
+            order, directories = tiff_pages(read)
+            known = {i: (lambda d=d: (decode_tiff(d, read, order), d.dpi)) for i, d in enumerate(directories)}
+        elif start == b"\x89PNG\r\n\x1a\n":
+            known = {0: lambda: (decode_png(data := read(0, size)), read_dpi(data))}
+        else:
+            raise ValueError(f"unsupported: {path.rpartition('.')[2].lower()}")
+        if only is not None and only not in known:
+            raise ValueError(f"page {only}: the file has {len(known)} page{'s' * (len(known) != 1)}")
+    except (ValueError, OSError) as e:
+        yield blank | {"error": str(e)}
+        return
+    for i in [only] if only is not None else range(first, len(known) if last is None else min(last, len(known))):
+        try:
+            img, dpi = known[i]()
+            h, w = img.shape
+            new, dpi = normalised(img, dpi or guess_dpi(h, w, options["fallback"]), options["target_dpi"], options["upscale"])
+            yield blank | {"page": i, "height": new.shape[0], "width": new.shape[1], "dpi": dpi, "original_width": w, "original_height": h, "gray": np.ascontiguousarray(new).tobytes()}
+        except (ValueError, OSError) as e:
+            yield blank | {"page": i, "error": str(e)}
+
+
 def load_pages(files: DataFrame, target_dpi: float = 300, fallback: str = "a4", upscale: bool = False) -> DataFrame:
-    """Rows of PAGE from (path, content): one for each page; what can't be read has an error and no pixels."""
+    """Rows of PAGE from (path, content) of PNG and TIFF files: one for each page; what can't be read has an error and no pixels."""
+    options = {"target_dpi": target_dpi, "fallback": fallback, "upscale": upscale}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                row = dict.fromkeys(_FIELDS.names) | {"path": path, "page": 0}
-                try:
-                    if not data:
-                        raise ValueError("empty file")
-                    img = decode_png(data)
-                    h, w = img.shape
-                    new, dpi = normalised(img, read_dpi(data) or guess_dpi(h, w, fallback), target_dpi, upscale)
-                    row |= {"height": new.shape[0], "width": new.shape[1], "dpi": dpi, "original_width": w, "original_height": h, "gray": np.ascontiguousarray(new).tobytes()}
-                except ValueError as e:
-                    row["error"] = f"unsupported: {path.rpartition('.')[2].lower()}" if str(e) == "not a PNG" else str(e)
-                yield pa.RecordBatch.from_pylist([row], _FIELDS)
+                body = data or b""
+                for row in decoded(path, lambda at, n, body=body: body[at : at + n], len(body), options):
+                    yield pa.RecordBatch.from_pylist([row], _FIELDS)
 
     return files.select("path", "content").mapInArrow(run, PAGE)
 
@@ -174,28 +140,36 @@ BROADCAST_FILES = 100_000
 HEAD_BYTES = 64 << 10  # holds the resolution of a JPEG; a TIFF may keep its directory anywhere, so it is read whole
 
 
-def resolutions(spark: SparkSession, root: str) -> DataFrame:
+def resolutions(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """path, dpi of the raster files below root, from their headers; null where they say nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([read_dpi(x or b"") for x in b.column("head").to_pylist()], pa.float64())], ["path", "dpi"])
 
-    files = scan(spark, root, SUFFIXES)
+    files = scan(spark, root, suffixes)
     head = F.when(F.lower("path").rlike(r"\.tiff?$"), F.col("content")).otherwise(F.substring("content", 1, HEAD_BYTES))
     return files.select("path", head.alias("head")).mapInArrow(run, "path string, dpi double")
 
 
-def load_rasters(spark: SparkSession, root: str, target_dpi: float = 300, fallback: str = "a4", upscale: bool = False) -> DataFrame:
+def any_case(suffixes: tuple[str, ...]) -> str:
+    """A path pattern for files with these suffixes, small or capital."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes) + "}"
+
+
+def load_rasters(spark: SparkSession, root: str, target_dpi: float = 300, fallback: str = "a4", upscale: bool = False, only: tuple[str, ...] | None = None) -> DataFrame:
     """Rows of PAGE for what Spark's image source reads (jpeg, png, bmp, gif), at the target resolution.
 
+    only names the suffixes of the files to read.
+
     The resolution comes from the file's header, or from the fallback. A file that
     can't be decoded is a row with an error and no pixels.
     """
     plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731 - the two sources spell local paths differently
-    i = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False).load(root).select("image.*")
-    known = resolutions(spark, root).select(plain(F.col("path")).alias("name"), "dpi")
-    few = scan(spark, root, SUFFIXES).select("path").limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
+    reader = spark.read.format("image").option("recursiveFileLookup", True).option("dropInvalid", False)
+    i = (reader.option("pathGlobFilter", any_case(only)) if only else reader).load(root).select("image.*")
+    known = resolutions(spark, root, only or SUFFIXES).select(plain(F.col("path")).alias("name"), "dpi")
+    few = scan(spark, root, only or SUFFIXES).select("path").limit(BROADCAST_FILES + 1).count() <= BROADCAST_FILES
     rows = i.withColumn("name", plain(F.col("origin"))).join(F.broadcast(known) if few else known, "name", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
