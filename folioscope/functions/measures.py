@@ -29,24 +29,29 @@ def odd_part(side: int, share: float) -> int:
 def noise_sigma(img: np.ndarray) -> float:
     if min(img.shape) < 3:
         return 0.0
-    return float(np.median(np.abs(R.conv3(img, SECOND)[1:-1, 1:-1]))) * MAD / 6
+    off = np.abs(R.conv3(img, SECOND)[1:-1, 1:-1])
+    if off.dtype != np.int16:
+        return float(np.median(off)) * MAD / 6
+    n = np.bincount(off.ravel()).cumsum()  # at most 16 * 255 values
+    middle = np.searchsorted(n, [(off.size - 1) // 2, off.size // 2], side="right")
+    return float(middle.mean()) * MAD / 6
 
 
 def immerkaer_sigma(img: np.ndarray) -> float:
     h, w = img.shape
     if min(h, w) < 3:
         return 0.0
-    return float(np.abs(R.conv3(img, SECOND)[1:-1, 1:-1]).sum() * np.sqrt(np.pi / 2) / (6 * (w - 2) * (h - 2)))
+    return float(np.abs(R.conv3(img, SECOND)[1:-1, 1:-1]).sum(dtype=np.float64) * np.sqrt(np.pi / 2) / (6 * (w - 2) * (h - 2)))
 
 
-def ink(img: np.ndarray, block_frac: float = 0.03, offset: int = 10) -> np.ndarray:
-    """Pixels darker than their surroundings by an offset that grows with noise."""
+def ink(img: np.ndarray, block_frac: float = 0.03, offset: int = 10, sigma: float | None = None) -> np.ndarray:
+    """Pixels darker than their surroundings by an offset that grows with noise, which is measured unless it is given."""
     if img.size == 0:
         return np.zeros(img.shape, bool)
-    sigma = noise_sigma(img)
+    sigma = noise_sigma(img) if sigma is None else sigma
     src = R.median3(img) if sigma > 2 else img
     least = int(min(60, max(offset, round(3 * sigma))))
-    return src <= np.rint(R.box_mean(src, odd_part(min(img.shape), block_frac), "edge")) - least
+    return src + float(least) <= np.rint(R.box_mean(src, odd_part(min(img.shape), block_frac), "edge"))
 
 
 def patches(width: int, height: int, size: int, rows: int, cols: int) -> list[tuple[int, int, int, int]]:
@@ -58,13 +63,15 @@ def patches(width: int, height: int, size: int, rows: int, cols: int) -> list[tu
     return [(x, y, x + side, y + side) for y in starts(height, rows) for x in starts(width, cols)]
 
 
-def informative(img: np.ndarray, boxes: list[tuple[int, int, int, int]], least: float) -> list[tuple[int, int, int, int]]:
-    """Boxes with enough ink, or all if none has."""
-    return [b for b in boxes if ink(img[b[1] : b[3], b[0] : b[2]]).mean() >= least] or boxes
+def informative(img: np.ndarray, boxes: list[tuple[int, int, int, int]], least: float, sigmas: list[float] | None = None) -> list[tuple[int, int, int, int]]:
+    """Boxes with enough ink, or all if none has; sigmas is the noise of each box where it is known."""
+    known = sigmas or [None] * len(boxes)
+    return [b for b, s in zip(boxes, known, strict=True) if ink(img[b[1] : b[3], b[0] : b[2]], sigma=s).mean() >= least] or boxes
 
 
 def tenengrad(img: np.ndarray) -> float:
-    return float((R.conv3(img, SOBEL) ** 2 + R.conv3(img, np.transpose(SOBEL).tolist()) ** 2).mean())
+    x, y = (R.conv3(img, k).astype(np.int32 if img.dtype == np.uint8 else np.float64) for k in (SOBEL, np.transpose(SOBEL).tolist()))
+    return float((x * x + y * y).mean())
 
 
 def laplacian_variance(img: np.ndarray) -> float:
@@ -103,16 +110,28 @@ def frame_mask(mask: np.ndarray, span: float = 0.8) -> np.ndarray:
 
 
 def local_std(img: np.ndarray, window: int) -> np.ndarray:
-    v = img.astype(np.float64)
-    m = R.box_mean(v, window)
-    return np.sqrt(np.maximum(R.box_mean(v * v, window) - m * m, 0))
+    """Deviation in a window, from exact sums of values and squares."""
+    n = window * window
+    mean = R.box_sum(img, window) / n
+    spread = R.box_sum(img.astype(np.uint16) ** 2, window) / n
+    spread -= mean * mean
+    return np.sqrt(np.maximum(spread, 0, out=spread), out=spread)
 
 
 def glare(img: np.ndarray, cv: dict[str, Any]) -> tuple[float, float, int]:
-    """Share of bright pixels, share of bright flat clusters, their number."""
+    """Share of bright pixels, share of bright flat clusters, their number. Flatness is measured around bright pixels only."""
     bright = float((img >= cv["glare_threshold"]).mean())
-    mask = (img >= max(cv["glare_threshold"], float(np.median(img)) + cv["glare_min_excess"])) & (local_std(img, odd_part(min(img.shape), cv["glare_flat_window_frac"])) < cv["glare_flat_std"])
-    area = R.components(mask)[1][:, 0]
+    mask = img >= max(cv["glare_threshold"], R.percentiles(img, [50])[0] + cv["glare_min_excess"])
+    rows, cols = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    if not len(rows):
+        return bright, 0.0, 0
+    window = odd_part(min(img.shape), cv["glare_flat_window_frac"])
+    h, w = img.shape
+    y0, y1, x0, x1 = max(0, rows[0] - window), min(h, rows[-1] + 1 + window), max(0, cols[0] - window), min(w, cols[-1] + 1 + window)
+    if min(y1 - y0, x1 - x0) <= window // 2 + 1:  # too small a part to mirror like the page
+        y0, y1, x0, x1 = 0, h, 0, w
+    part = mask[y0:y1, x0:x1] & (local_std(img[y0:y1, x0:x1], window) < cv["glare_flat_std"])
+    area = R.components(part)[1][:, 0]
     area = area[area >= cv["glare_min_cluster_frac"] * img.size]
     return bright, float(area.sum() / img.size), len(area)
 
@@ -205,13 +224,14 @@ def measure(img: np.ndarray, settings: dict[str, Any], dpi: float = 0.0, origina
     cv, grid = settings["cv"], settings["grid"]
     h, w = img.shape
     boxes = patches(w, h, settings["patch_size"], grid["rows"], grid["cols"])
-    good = informative(img, boxes, cv["min_ink_frac"])
+    sigmas = {b: noise_sigma(img[b[1] : b[3], b[0] : b[2]]) for b in boxes}
+    good = informative(img, boxes, cv["min_ink_frac"], [sigmas[b] for b in boxes])
     crops = [img[b[1] : b[3], b[0] : b[2]] for b in good]
     mean = lambda f: float(np.mean([f(c) for c in crops]))
     angle = skew(img, cv)
     page = ink(img, cv["ink_block_frac"], cv["ink_offset"])
     clean = R.opened(page.astype(np.uint8), np.ones((odd_part(min(h, w), cv["ink_denoise_frac"]),) * 2, bool)) > 0
-    level = page if abs(angle) < cv["skew_coarse_step"] else ink(R.turned(img, angle, int(np.percentile(img, 90))), cv["ink_block_frac"], cv["ink_offset"])
+    level = page if abs(angle) < cv["skew_coarse_step"] else ink(R.turned(img, angle, int(R.percentiles(img, [90])[0])), cv["ink_block_frac"], cv["ink_offset"])
     line, n_lines, density = text_scale(level, cv)
     x0, y0, x1, y1 = text_box(clean)
     edge, framed = border_ink(clean, cv)
@@ -220,10 +240,10 @@ def measure(img: np.ndarray, settings: dict[str, Any], dpi: float = 0.0, origina
     columns, rows = streaks(img, 0, cv["streak_smooth_frac"]), streaks(img, 1, cv["streak_smooth_frac"])
     sharp, gap = mean(tenengrad), ink_paper_gap(img)
     margin = (x0 / w, (w - x1) / w, y0 / h, (h - y1) / h)
-    low, high = np.percentile(img, [1, 99])
+    low, high = R.percentiles(img, [1, 99])
     scale = original_width / w if original_width > 0 and w > 0 else 1.0
     values = (
-        sharp, sharp / max(gap, 1.0) ** 2, mean(laplacian_variance), mean(noise_sigma), high_frequency(crops[0]), float(img.std()), float(high - low), gap,
+        sharp, sharp / max(gap, 1.0) ** 2, mean(laplacian_variance), float(np.mean([sigmas[b] for b in good])), high_frequency(crops[0]), float(img.std()), float(high - low), gap,
         float(((img > cv["bitonal_mid_low"]) & (img < cv["bitonal_mid_high"])).mean()), bright, clusters, n_clusters, dark, light_range, angle, abs(angle), *margin, min(margin),
         max(edge.values()), edge["left"], edge["right"], edge["top"], edge["bottom"], framed, line, line * scale, n_lines, density, max(columns, rows), columns, rows, dpi, len(boxes), len(good),
     )

@@ -6,27 +6,46 @@ import numpy as np
 
 
 def conv3(img: np.ndarray, kernel: list[list[int]], border: str = "reflect") -> np.ndarray:
-    """A 3x3 correlation; reflect mirrors without repeating the edge, symmetric repeats it."""
+    """A 3x3 correlation; reflect mirrors without repeating the edge, symmetric repeats it. Of bytes it is exact, in 16 bits."""
     if min(img.shape) < 2 and border == "reflect":
         border = "edge"
-    p = np.pad(img.astype(np.float64), 1, mode=border)
+    kind = np.int16 if img.dtype == np.uint8 and 255 * np.abs(kernel).sum() < 1 << 15 else np.float64
+    p = np.pad(img.astype(kind), 1, mode=border)
     h, w = img.shape
-    out = np.zeros((h, w))
+    out = np.zeros((h, w), kind)
     for i, line in enumerate(kernel):
         for j, k in enumerate(line):
             if k:
-                out += k * p[i : i + h, j : j + w]
+                part = p[i : i + h, j : j + w]
+                out += part if k == 1 else k * part
     return out
 
 
-def box_mean(img: np.ndarray, size: int, border: str = "symmetric") -> np.ndarray:
-    """Mean over a size x size window, by a summed-area table."""
+def box_sum(img: np.ndarray, size: int, border: str = "symmetric") -> np.ndarray:
+    """Sums over a size x size window, by running sums along one side and then the other; of integers they are exact."""
     r = size // 2
-    p = np.pad(img.astype(np.float64), ((r + 1, r), (r + 1, r)), mode=border if min(img.shape) > r + 1 else "edge")
-    p[0, :] = 0
-    p[:, 0] = 0
-    s = p.cumsum(0).cumsum(1)
-    return (s[size:, size:] - s[:-size, size:] - s[size:, :-size] + s[:-size, :-size]) / (size * size)
+    small = img.dtype.kind == "u" and img.dtype.itemsize <= 2 and size * size * int(np.iinfo(img.dtype).max) < 1 << 32
+    kind = np.float64 if img.dtype.kind == "f" else np.uint32 if small else np.int64
+    p = np.pad(img, r, mode=border if min(img.shape) > r + 1 else "edge")
+    s = np.zeros((p.shape[0] + 1, p.shape[1]), kind)
+    np.cumsum(p, axis=0, dtype=kind, out=s[1:])
+    rows = s[size:] - s[:-size]
+    s = np.zeros((rows.shape[0], p.shape[1] + 1), kind)
+    np.cumsum(rows, axis=1, dtype=kind, out=s[:, 1:])  # 32 bits may wrap, but their differences don't: a window's sum is below 2^32
+    return s[:, size:] - s[:, :-size]
+
+
+def box_mean(img: np.ndarray, size: int, border: str = "symmetric") -> np.ndarray:
+    """Mean over a size x size window."""
+    return box_sum(img, size, border) / (size * size)
+
+
+def percentiles(img: np.ndarray, q: list[float]) -> list[float]:
+    """Percentiles of bytes from their counts, between two values in proportion."""
+    n = np.bincount(img.ravel(), minlength=256).cumsum()
+    place = [(n[-1] - 1) * x / 100 for x in q]
+    low, high = (np.searchsorted(n, [int(end(p)) for p in place], side="right") for end in (np.floor, np.ceil))
+    return [float(a + (b - a) * (p - np.floor(p))) for a, b, p in zip(low, high, place, strict=True)]
 
 
 def box_mean_1d(v: np.ndarray, size: int) -> np.ndarray:
@@ -153,7 +172,8 @@ def _weights(old: int, new: int) -> tuple[np.ndarray, np.ndarray]:
 def shrink(img: np.ndarray, height: int, width: int) -> np.ndarray:
     """Area-weighted means, by interpolating the summed-area table at fractional edges."""
     def along(v: np.ndarray, n: int) -> np.ndarray:
-        s = np.concatenate([np.zeros((1, v.shape[1])), v.cumsum(0)])
+        s = np.zeros((len(v) + 1, v.shape[1]), np.uint32 if v.dtype == np.uint8 else np.float64)
+        np.cumsum(v, axis=0, dtype=s.dtype, out=s[1:])
         lo, hi = _weights(len(v), n)
 
         def at(x: np.ndarray) -> np.ndarray:
@@ -162,7 +182,7 @@ def shrink(img: np.ndarray, height: int, width: int) -> np.ndarray:
 
         return (at(hi) - at(lo)) / (hi - lo)[:, None]
 
-    return np.clip(np.rint(along(along(img.astype(np.float64), height).T, width).T), 0, 255).astype(np.uint8)
+    return np.clip(np.rint(along(along(img if img.dtype == np.uint8 and img.shape[0] < 1 << 24 else img.astype(np.float64), height).T, width).T), 0, 255).astype(np.uint8)
 
 
 def bilinear(img: np.ndarray, y: np.ndarray, x: np.ndarray, border: float | None = None) -> np.ndarray:
@@ -178,9 +198,16 @@ def bilinear(img: np.ndarray, y: np.ndarray, x: np.ndarray, border: float | None
 
 
 def resize(img: np.ndarray, height: int, width: int) -> np.ndarray:
-    y = (np.arange(height) + 0.5) * img.shape[0] / height - 0.5
-    x = (np.arange(width) + 0.5) * img.shape[1] / width - 0.5
-    return bilinear(img, np.broadcast_to(y[:, None], (height, width)), np.broadcast_to(x[None, :], (height, width)))
+    """Bilinear, one side after the other."""
+    out = img.astype(np.float64)
+    for axis, n in ((0, height), (1, width)):
+        old = out.shape[axis]
+        at = np.clip((np.arange(n) + 0.5) * old / n - 0.5, 0, old - 1)
+        low = np.minimum(at.astype(int), max(0, old - 2))
+        part = (at - low)[:, None] if axis == 0 else (at - low)[None, :]
+        a = np.take(out, low, axis)
+        out = a + (np.take(out, np.minimum(low + 1, old - 1), axis) - a) * part
+    return out
 
 
 def nearest(img: np.ndarray, height: int, width: int) -> np.ndarray:

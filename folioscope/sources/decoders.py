@@ -104,11 +104,11 @@ def decode_png(data: bytes) -> np.ndarray:
     sizes = [(-(-(h - y) // dy), -(-(w - x) // dx)) for y, x, dy, dx in sub]
     lengths = [sh * (1 + -(-sw * bands * depth // 8)) for sh, sw in sizes]
     try:
-        raw = np.frombuffer(zlib.decompressobj().decompress(b"".join(body), sum(lengths)), np.uint8)
+        raw = np.frombuffer((stream := zlib.decompressobj()).decompress(b"".join(body), sum(lengths)), np.uint8)
     except zlib.error as e:
         raise ValueError("damaged PNG") from e
     if raw.size < sum(lengths):
-        raise ValueError("short PNG")
+        raise ValueError("short PNG" if stream.eof else "damaged PNG")
     out, at = np.zeros((h, w, bands), np.uint8), 0
     for (y, x, dy, dx), (sh, sw), n in zip(sub, sizes, lengths, strict=True):
         lines = unfilter(raw[at : at + n].reshape(sh, -1), unit)
