@@ -7,7 +7,9 @@ passage; all pieces of all items are looked up at once with an Aho-Corasick
 automaton. Around each hit, Myers' bit-parallel algorithm gives the smallest
 number of edits between the item and a passage of the text there.
 
-Defined results: null or empty texts and null or empty items match nothing.
+Defined results: null or empty texts and null or empty items match nothing. An
+item of fewer than SHORT characters (a word, a number, a yes or no) is no passage
+that gives a benchmark away: it matches a text that is nothing else, without edits.
 Items with equal normalised texts all match where one does. Repeated rows of
 documents give repeated rows of hits. Columns besides doc_id and text, item_id
 and text are ignored.
@@ -27,6 +29,8 @@ from .common import ids_and_texts, slices, tidy
 
 #: Edits allowed for each character of an item.
 ERROR_SHARE = 0.06
+#: Normalised characters that an item needs to count as a passage inside a longer text.
+SHORT = 20
 #: Characters of items held by one automaton; more items mean more passes over the documents, not more memory.
 ITEM_CHARS = 1_000_000
 
@@ -78,7 +82,8 @@ class Matcher:
     def __init__(self, items: dict[str, list[int]], error_share: float) -> None:
         import ahocorasick
 
-        self.items = [(text, int(len(text) * error_share), ids) for text, ids in items.items() if text]
+        self.items = [(text, int(len(text) * error_share), ids) for text, ids in items.items() if len(text) >= SHORT]
+        self.short = {text: ids for text, ids in items.items() if 0 < len(text) < SHORT}
         at: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for n, (text, errors, _) in enumerate(self.items):
             for place, piece in pieces(text, errors):
@@ -91,6 +96,8 @@ class Matcher:
 
     def matches(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, distance, errors allowed) of the items that text holds."""
+        if text in self.short:
+            return [(i, 0, 0) for i in self.short[text]]
         if not self.items or not text:
             return []
         starts: dict[int, set[int]] = defaultdict(set)
