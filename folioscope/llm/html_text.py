@@ -20,11 +20,14 @@ columns besides page_id, url and html are ignored.
 from __future__ import annotations
 
 import html as entities
+import json
 import random
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,14 +62,39 @@ def _hints(attributes: str) -> set[str]:
     return out
 
 
+#: Elements that only lay out what is in them, and those that an article can stand in whatever else they are for.
+LAYOUT = frozenset(f"in {x}" for x in "table tbody thead tfoot tr td th ul ol dl section center figure".split())
+WHOLES = frozenset(("in article", "in main"))
+OPEN_NAMES = LAYOUT | frozenset(f"in {x}" for x in "form article main".split())
+#: What the tags between two runs of words cost at most, in words.
+GAP = 2.5
+#: A text of fewer words is a reason to look at the page again without the names of elements that hold most of it.
+FEW = 10
+WEIGHTS = Path(__file__).with_name("html_weights.json")
+
 #: A text run or a tag: its features (of a tag, one), how often they count, and the text.
 Token = tuple[tuple[str, ...], int, str]
 
 
+@dataclass
+class Box:
+    """An element: the tokens [first, end) in it, and what its own name, class, id and role say."""
+
+    first: int
+    end: int
+    own: frozenset[str]
+
+
 def parse(page: str) -> list[Token]:
     """Text runs and tags in page order. A run counts once for each of its words, white space alone not at all."""
+    return read(page)[0]
+
+
+def read(page: str) -> tuple[list[Token], list[Box]]:
+    """The tokens of a page, and its elements in the order in which they begin."""
     out: list[Token] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []  # open containers, and the features of what is in them
+    boxes: list[Box] = []
+    stack: list[tuple[str, tuple[str, ...], Box]] = []  # open containers, and the features of what is in them
     opened: Counter = Counter()
     endless: set[str] = set()  # raw elements with no end tag from here on
     link, heading, listed = False, False, 0
@@ -132,7 +160,8 @@ def parse(page: str) -> list[Token]:
         if name in CONTAINERS:
             if closing:
                 while opened[name]:
-                    last = stack.pop()[0]
+                    last, _, box = stack.pop()
+                    box.end = len(out)
                     opened[last] -= 1
                     if last == name:
                         break
@@ -141,7 +170,8 @@ def parse(page: str) -> list[Token]:
                 own = set() if name in ("html", "body") else _hints(attributes) if attributes else set()
                 if name not in ("html", "body", "div"):
                     own.add("inner header" if name == "header" and (opened["article"] or opened["main"]) else f"in {name}")
-                stack.append((name, (*around, *sorted(own.difference(around)))))
+                boxes.append(Box(len(out), -1, frozenset(own)))
+                stack.append((name, (*around, *sorted(own.difference(around))), boxes[-1]))
                 opened[name] += 1
             link = heading = False
         if name == "a":
@@ -154,7 +184,9 @@ def parse(page: str) -> list[Token]:
         if name in ("ul", "ol", "dl"):
             listed = max(0, listed + (-1 if closing else 1))
         out.append(((f"tag {name}",), 1, " " if name in BLOCK else ""))
-    return out
+    for _, _, box in stack:
+        box.end = len(out)
+    return out, boxes
 
 
 @lru_cache(64)
@@ -169,35 +201,87 @@ def weight(weights: dict[str, float], features: tuple[str, ...]) -> float:
     return weights.get(features[0], weights["tag"]) if features[0] != "space" else 0.0
 
 
+def scores(tokens: list[Token], weights: dict[str, float]) -> list[float]:
+    """The score of every token. All tags between two runs of words cost GAP words at most, however many wrappers there are."""
+    most = GAP * weights["words"]
+    known: dict[tuple[str, ...], float] = {}
+    out: list[float] = []
+    first, gap = 0, 0.0
+
+    def close() -> None:
+        if gap < -most:
+            for j in range(first, len(out)):
+                out[j] *= most / -gap
+
+    for features, factor, _ in tokens:
+        if (w := known.get(features)) is None:
+            w = known[features] = weight(weights, features)
+        if features[0] == "words":
+            close()
+            out.append(w * factor)
+            first, gap = len(out), 0.0
+        else:
+            out.append(w * factor)
+            gap += w * factor
+    close()
+    return out
+
+
 def region(tokens: list[Token], weights: dict[str, float]) -> tuple[int, int]:
     """The stretch [a, b) with the highest sum; of equal sums the first, and the longest from there."""
     best, span = 0.0, (0, 0)
     total, start = 0.0, 0
-    known: dict[tuple[str, ...], float] = {}
-    for i, (features, factor, _) in enumerate(tokens):
-        if (w := known.get(features)) is None:
-            w = known[features] = weight(weights, features)
+    for i, (score, (_, factor, _)) in enumerate(zip(scores(tokens, weights), tokens, strict=True)):
         if total <= 0 and not (total == 0 and factor == 0):
             total, start = 0.0, i
-        total += w * factor
+        total += score
         if total > best or (total == best and best > 0 and span[0] == start):
             best, span = total, (start, i + 1)
     return span
 
 
-def text_of(tokens: list[Token], span: tuple[int, int], weights: dict[str, float]) -> str:
-    """Blocks in page order, with white space inside and between them as one space; runs with a weight above 0 only."""
-    known: dict[tuple[str, ...], bool] = {}
+def content(features: tuple[str, ...], weights: dict[str, float], strict: bool = False) -> bool:
+    """Whether a run stays. In the region one is left out if its weight isn't positive and what elements around it are called speaks against it too; strict asks for a positive weight. Tables and lists as such speak against nothing."""
+    if strict:
+        return sum(weights.get(f, 0.0) for f in features if f not in LAYOUT) > 0
+    return weight(weights, features) > 0 or sum(weights.get(f, 0.0) for f in features if f.startswith(("in ", "hint ", "role ")) and f not in LAYOUT) >= 0
+
+
+def text_of(tokens: list[Token], span: tuple[int, int], weights: dict[str, float], wide: tuple[int, int] | None = None) -> str:
+    """Blocks in page order, with white space inside and between them as one space; of what wide adds to span, runs with a weight above 0."""
+    a, b = wide or span
+    known: dict[tuple[bool, tuple[str, ...]], bool] = {}
     parts = []
-    for features, _, text in tokens[span[0] : span[1]]:
+    for i in range(a, b):
+        features, _, text = tokens[i]
         if features[0] == "words":
-            if (good := known.get(features)) is None:
-                good = known[features] = weight(weights, features) > 0
+            key = (not span[0] <= i < span[1], features)
+            if (good := known.get(key)) is None:
+                good = known[key] = content(features, weights, key[0])
             text = text if good else " "
         parts.append(text)
     return " ".join("".join(parts).split())
 
 
+def widened(tokens: list[Token], boxes: list[Box], span: tuple[int, int], weights: dict[str, float]) -> tuple[int, int]:
+    """The region with the headings right before it, and the rest of the article (or main part) around it that it fills by half at least."""
+    a, b = span
+    if a == b:
+        return span
+    sums = [0]
+    for features, factor, _ in tokens:
+        sums.append(sums[-1] + factor * (features[0] == "words" and content(features, weights, True)))
+    for box in reversed([x for x in boxes if x.first <= span[0] and x.end >= span[1] and x.own & WHOLES]):
+        if sums[box.end] - sums[box.first] > 2 * (sums[b] - sums[a]):
+            break
+        a, b = min(a, box.first), max(b, box.end)
+    i = a - 1
+    while i >= 0 and (tokens[i][0][0] != "words" or ("heading" in tokens[i][0] and content(tokens[i][0], weights, True))):
+        a = i if tokens[i][0][0] == "words" else a
+        i -= 1
+    return a, b
+
+
 #: Words of labelled pages that aren't content begin with this.
 NOISE = "~"
 
@@ -294,16 +378,51 @@ def labelled_pages(n: int = 300, seed: int = 5) -> list[str]:
     return out
 
 
+def without_names(tokens: list[Token], boxes: list[Box], span: tuple[int, int], weights: dict[str, float]) -> list[Token] | None:
+    """The tokens, when forms and other elements with more than half of the page's words don't count by their names; None if there is no such element.
+
+    A part that isn't content is a part: what nearly the whole page stands in (a
+    page-wide form, an article of class `shared-widget`) is no such part. Where
+    something was found outside of it that isn't a mere heading, its name stands.
+    """
+    sums = [0]
+    for features, factor, _ in tokens:
+        sums.append(sums[-1] + factor * (features[0] == "words"))
+    found = [x[0] for x in tokens[span[0] : span[1]] if x[0][0] == "words"]
+    bare = all("heading" in x for x in found)
+    large = [
+        x for x in boxes
+        if x.own and 2 * (sums[x.end] - sums[x.first]) > sums[-1] and not any(f.startswith("in ") and f not in OPEN_NAMES for f in x.own)
+        and sum(weights.get(f, 0.0) for f in x.own) < 0 and (bare or x.first <= span[0] and x.end >= span[1])
+    ]
+    if not large:
+        return None
+    gone = frozenset().union(*[x.own for x in large])
+    low, high = large[0].first, max(x.end for x in large)
+    return [(tuple(f for f in x[0] if f not in gone), *x[1:]) if low <= i < high and x[0][0] == "words" else x for i, x in enumerate(tokens)]
+
+
 def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    tokens = parse(page)
-    return text_of(tokens, region(tokens, weights), weights)
+    tokens, boxes = read(page)
+    span = region(tokens, weights)
+    found = text_of(tokens, span, weights, widened(tokens, boxes, span, weights))
+    if len(found.split()) < FEW and (again := without_names(tokens, boxes, span, weights)):
+        span = region(again, weights)
+        found = text_of(again, span, weights, widened(again, boxes, span, weights))
+    return found
+
+
+@lru_cache(1)
+def shipped_weights() -> dict[str, float]:
+    """The result of train(labelled_pages()), kept beside the module; `python -m folioscope.llm.html_text` makes it anew."""
+    return json.loads(WEIGHTS.read_text())
 
 
 def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every page; one pass, no shuffle."""
-    own = weights or train(labelled_pages())
+    own = weights or shipped_weights()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, column="html"):
@@ -312,3 +431,7 @@ def extract_pages(pages: DataFrame, weights: dict[str, float] | None = None) ->
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     return rows.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    WEIGHTS.write_text(json.dumps({k: round(v, 6) for k, v in sorted(train(labelled_pages()).items())}, indent=0) + "\n")

@@ -306,6 +306,35 @@ def test_language_learns_every_language(spark, monkeypatch):
     assert votes[model.predict(text)[0]] == max(votes.values(), default=0)
 
 
+def test_language_of_hundreds(spark):
+    """No plan, driver list or family grows with the square of the number of languages."""
+    n, rng = 400, random.Random(6)
+    letters = [rng.sample("abcdefghijklmnopqrstuvwxyzßàéîõüčłøœ", 7) for _ in range(n)]
+    text = lambda k: " ".join("".join(rng.choice(letters[k]) for _ in range(4)) for _ in range(40))
+    df = spark.createDataFrame([(3 * k + i, text(k), f"l{k:04d}") for k in range(n) for i in range(3)], "doc_id long, text string, lang string").repartition(4)
+    model = language.train(df)
+    assert sorted(x for f in model.families for x in f) == [f"l{k:04d}" for k in range(n)]
+    assert max(map(len, model.families)) <= language.FAMILY and len(model.pairs) <= n * (language.FAMILY - 1) / 2
+    assert model.family_weights.nbytes + model.pair_weights.nbytes <= 64_000 * n
+    own = [model.predict(text(k))[0] == f"l{k:04d}" for k in range(0, n, 10)]
+    assert np.mean(own) > 0.5  # by chance: 0.0025
+
+
+def test_families_equal_plain_linkage():
+    rng = np.random.default_rng(8)
+    for n, most in ((1, 8), (2, 8), (4, 8), (9, 8), (12, 3), (12, 1)):
+        means = rng.normal(size=(n, 5))
+        means /= np.linalg.norm(means, axis=1, keepdims=True)
+        groups, near = [[i] for i in range(n)], means @ means.T
+        while len(groups) > max(1, round(n**0.5)):
+            fit = [(near[np.ix_(groups[a], groups[b])].mean(), -a, -b) for a in range(len(groups)) for b in range(a + 1, len(groups)) if len(groups[a] + groups[b]) <= most]
+            if not fit:
+                break
+            _, a, b = max(fit)
+            groups[-a] += groups.pop(-b)
+        assert language.find_families([str(i + 10) for i in range(n)], means, most) == sorted(tuple(str(i + 10) for i in sorted(g)) for g in groups)
+
+
 # 5
 
 
@@ -350,6 +379,13 @@ def test_decontamination(spark, monkeypatch):
     assert decontamination.leaks(make(spark, rows), bench.limit(0)).count() == 0 and decontamination.leaks(make(spark, rows).limit(0), bench).count() == 0
 
 
+def test_short_items_match_whole_texts_only(spark):
+    bench = spark.createDataFrame([(1, "a"), (2, "of"), (3, " Of "), (4, "nineteen characters"), (5, "twenty characters ok")], "item_id long, text string")
+    docs = make(spark, [(1, "a tale of a town of nineteen characters"), (2, " OF "), (3, "so twenty  characters okay"), (4, "A"), (5, None), (6, "nineteen characters")])
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in decontamination.leaks(docs, bench).collect()) == [(2, 2, 0), (2, 3, 0), (3, 5, 0), (4, 1, 0), (6, 4, 0)]
+    assert sorted(r.doc_id for r in decontamination.without_leaks(docs, bench).collect()) == [1, 5]
+
+
 # 6
 
 
@@ -383,9 +419,53 @@ def test_html_region_is_the_best_stretch():
         tokens = [(("words",) if rng.random() < 0.5 else ("tag p",) if rng.random() < 0.7 else ("space",), rng.randint(0, 3), "x") for _ in range(rng.randint(0, 12))]
         tokens = [(f, 0 if f == ("space",) else k, t) for f, k, t in tokens]
         w = {"words": 1.0, "tag": -1.0, "tag p": -rng.choice([0.5, 1.0, 2.0])}
-        value = lambda a, b: sum(html_text.weight(w, f) * k for f, k, _ in tokens[a:b])  # noqa: B023, E731
+        own = brute_scores(tokens, w)
+        value = lambda a, b: sum(own[a:b])  # noqa: B023, E731
         best = max([0.0, *(value(a, b) for a in range(len(tokens)) for b in range(a + 1, len(tokens) + 1))])
-        assert value(*html_text.region(tokens, w)) == pytest.approx(best)
+        assert html_text.scores(tokens, w) == pytest.approx(own) and value(*html_text.region(tokens, w)) == pytest.approx(best)
+
+
+def brute_scores(tokens, w):
+    """Each token's weight; tags between words share the cost of GAP words if they cost more."""
+    out = [html_text.weight(w, f) * k for f, k, _ in tokens]
+    words = [i for i, x in enumerate(tokens) if x[0][0] == "words"]
+    for a, b in zip([-1, *words], [*words, len(tokens)], strict=True):
+        if (cost := -sum(out[a + 1 : b])) > html_text.GAP * w["words"]:
+            out[a + 1 : b] = [x * html_text.GAP * w["words"] / cost for x in out[a + 1 : b]]
+    return out
+
+
+LONG = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi omega."
+MORE = LONG.replace("a", "o")
+COMMON_PAGES = {
+    "a form around everything": (f'<form id="aspnetForm"><div id="content"><p>{LONG}</p><p>{MORE}</p></div><label>Find</label><button>Go</button></form>', f"{LONG} {MORE}"),
+    "an article that is called a widget": (f'<article class="post shared-widget"><p>{LONG}</p></article>', LONG),
+    "social history": (f'<div class="social-history"><p>{LONG}</p></div>', LONG),
+    "steps that are links": (f'<article><p>{LONG}</p><ul><li><a href="#1">Step one</a></li><li><a href="#2">Step two</a></li></ul><p>{MORE}</p></article>', f"{LONG} Step one Step two {MORE}"),
+    "a table of numbers at the end": (f"<article><p>{LONG}</p><table><tr><td>1</td><td>20</td></tr><tr><td>3</td><td>40</td></tr></table></article>", f"{LONG} 1 20 3 40"),
+    "a title in a box of its own": (f'<div class="title"><h1>My Title</h1></div><div class="text"><p>{LONG}</p></div>', f"My Title {LONG}"),
+    "short blocks": ("<div><div>one short block of text here</div></div><div><div>another short block of text that is longer</div></div><div><div>third short block of text</div></div>", "one short block of text here another short block of text that is longer third short block of text"),
+    "an article shorter than its footer": ("<article><h1>Two words.</h1></article>", "Two words."),
+    "comments longer than the article": (f"<article><p>{LONG}</p></article><div class='comments'><p>{MORE}</p><p>{MORE}</p><p>{MORE}</p></div>", LONG),
+}
+AROUND = '<html><head><title>x</title><script>var a = 1;</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>{}<footer><p>&copy; 2024 Some company, all rights reserved by the people who made it</p></footer></body></html>'
+
+
+@pytest.mark.parametrize("name", COMMON_PAGES)
+def test_html_of_common_pages(name):
+    body, want = COMMON_PAGES[name]
+    weights = html_text.shipped_weights()
+    assert html_text.extract(f"<html><body>{body}</body></html>", weights) == want
+    page = AROUND.format(body)
+    assert html_text.extract(page, weights) == want
+    bare = "<ul><li><a href='/'>Archive</a></li><li><a href='/m'>March</a></li></ul><table><tr><td><i>here</i></td></tr></table>"  # no name says what it is
+    tokens = html_text.parse(AROUND.format(bare + body))
+    assert html_text.extract(AROUND.format(bare + body), weights) == want
+    assert html_text.text_of(tokens, (0, len(tokens)), weights) != want  # the region alone leaves it out
+
+
+def test_shipped_weights_are_what_training_gives(weights):
+    assert html_text.shipped_weights() == pytest.approx(weights, abs=1e-6)
 
 
 def test_html_takes_linear_time_on_damage(weights):
