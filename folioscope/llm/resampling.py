@@ -38,7 +38,7 @@ from .common import ids_and_texts, slices, text_buffer, tidy, written
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 NOT_WORD = re.compile(rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]")
 #: Text that DuckDB holds at once, and the memory that it may take for it; it never spills, as the folder would be the machine's own.
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 19
 MEMORY = "768MB"
 
 
