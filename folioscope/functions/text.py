@@ -34,16 +34,19 @@ def garbage_ratio(text: Column, languages: list[str], extra: str) -> Column:
 
 def bare_words(text: Column) -> Column:
     """Words without the signs around them; empty ones are left out."""
-    strip = f"^[{_class(STRIPPED)}]+|[{_class(STRIPPED)}]+$"
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda t: F.regexp_replace(t, strip, "")), lambda t: t != "")
+    solid = F.coalesce(text, F.lit(""))
+    return F.filter(F.transform(F.split(solid, r"\s+"), lambda t: F.trim(t, F.lit(STRIPPED))), lambda t: t != "")
 
 
 def implausible(token: Column, languages: list[str]) -> Column:
     """A token that can't be a word: letters without a vowel, letters mixed with digits, long runs of signs."""
     vowels = "".join(VOWELS.get(x, "") for x in languages)
-    n = F.length(F.regexp_replace(token, r"[^\p{L}]", ""))
-    mute = (n >= 3) & ~F.lower(token).rlike(f"[{vowels}]") if vowels else F.lit(False)
-    return F.when(token.rlike(r"^\p{Nd}+$"), False).when(n == 0, F.length(token) > 2).when(mute, True).otherwise((n >= 2) & token.rlike(r"\p{Nd}"))
+    n = F.length(F.regexp_replace(token, r"\P{L}+", ""))
+    # Most words have vowels and no digit, and are done after two looks.
+    mute = (n >= 3) if vowels else F.lit(False)
+    sung = token.rlike(f"[{vowels}{vowels.upper()}]") if vowels else F.lit(True)
+    digit = token.rlike(r"\p{Nd}")
+    return F.when(sung & ~digit, F.when(n == 0, F.length(token) > 2).otherwise(False) if not vowels else F.lit(False)).when(token.rlike(r"^\p{Nd}+$"), False).when(n == 0, F.length(token) > 2).when(~sung & mute, True).otherwise((n >= 2) & digit)
 
 
 def nonword_counts(text: Column, languages: list[str]) -> tuple[Column, Column]:
@@ -52,7 +55,8 @@ def nonword_counts(text: Column, languages: list[str]) -> tuple[Column, Column]:
 
 
 def nonword_ratio(text: Column, languages: list[str]) -> Column:
-    return ratio(*nonword_counts(text, languages))
+    # The words are an array of one list, so that they are cut once for both counts.
+    return F.transform(F.array(bare_words(text)), lambda ts: ratio(F.size(F.filter(ts, lambda t: implausible(t, languages))), F.size(ts)))[0]
 
 
 def unreadable(n_boxes: Column, signals: dict[str, Column], anchors: dict[str, dict[str, float]], least: int = 5) -> Column:

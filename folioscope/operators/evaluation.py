@@ -138,11 +138,23 @@ def expected_sign(metric: Column, signal: Column) -> Column:
     return F.when(signal == "mean_confidence", s).otherwise(-s)
 
 
-def pos_weight(rows: DataFrame, most: float = 50.0) -> DataFrame:
-    """label, pos_weight, capped from rows (label, truth): negatives for each positive, 1 without positives."""
+def pos_weight(rows: DataFrame, most: float = 50.0, labels: list[str] | None = None, given: list[float] | None = None) -> DataFrame:
+    """label, pos_weight, capped from rows (label, truth): negatives for each positive, 1 without positives.
+
+    given sets the weights of labels one by one, in their order, in place of the
+    counted ones; it is taken as it is, without the cap. A list of another length
+    would weigh the wrong labels, so it is an error.
+    """
+    if given is not None and len(given) != len(labels or []):
+        raise ValueError(f"{len(given)} weights for {len(labels or [])} labels")
     n = rows.groupBy("label").agg(F.sum(F.col("truth").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     w = F.coalesce(F.try_divide((F.col("n") - F.col("pos")).cast("double"), F.col("pos").cast("double")), F.lit(1.0))
-    return n.select("label", w.alias("pos_weight"), F.least(w, F.lit(most)).alias("capped"))
+    out = n.select("label", w.alias("pos_weight"), F.least(w, F.lit(most)).alias("capped"))
+    if labels is None:
+        return out
+    spark = rows.sparkSession
+    own = F.broadcast(spark.createDataFrame([(i, x, None if given is None else float(given[i])) for i, x in enumerate(labels)], "place int, label string, own double"))  # a row a label of the settings
+    return own.join(out, "label", "left").select("place", "label", F.coalesce("own", "pos_weight", F.lit(1.0)).alias("pos_weight"), F.coalesce("own", "capped", F.lit(1.0)).alias("capped"))
 
 
 def best_so_far(rows: DataFrame, value: str, order: str, by: list[str]) -> DataFrame:

@@ -79,7 +79,7 @@ def _anchor_sql(v: str, good: float, bad: float) -> str:
 
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", X.garbage_ratio(F.col("text"), OCR["languages"], OCR["extra_chars"]).alias("garbage_ratio"), X.nonword_ratio(F.col("text"), OCR["languages"]).alias("nonword_ratio"), F.size(X.bare_words(F.col("text"))).alias("n_words"))
+    return d.select("doc_id", "lang", X.garbage_ratio(F.col("text"), OCR["languages"], OCR["extra_chars"]).alias("garbage_ratio"), X.nonword_ratio(F.col("text"), OCR["languages"]).alias("nonword_ratio"))
 
 
 @query(f"WITH {_TEXT} SELECT doc_id, round(garbage_ratio, 6) AS garbage_ratio FROM ratios")
@@ -222,18 +222,34 @@ def q_label_queue_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("label", F.col("rank").cast("long").alias("rank"), F.col("image").alias("doc_id"), "score")
 
 
-@query()
-def q_label_queue_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = DEFAULTS["labeling"]
+_LABELING = DEFAULTS["labeling"]
+#: The queue in SQL: a random part, then each label in turn takes its best page that isn't in the queue.
+_QUEUE = f"""{_PRE}, {_LONG}, sized AS (SELECT least({_LABELING['sample_total']}, count(*))::INT AS total FROM documents),
+picked AS (SELECT doc_id FROM documents, sized ORDER BY md5('{_LABELING['sample_seed']}:' || doc_id), doc_id LIMIT (SELECT floor(total * {_LABELING['random_share']})::INT FROM sized)),
+placed AS (SELECT place, doc_id, row_number() OVER (PARTITION BY place ORDER BY score DESC, md5('{_LABELING['sample_seed']}:' || doc_id), doc_id) AS nth FROM long WHERE doc_id NOT IN (SELECT doc_id FROM picked)),
+best AS MATERIALIZED (SELECT place, list(doc_id ORDER BY nth) AS ids FROM placed WHERE nth <= {_LABELING['sample_total']} GROUP BY place),
+turns(i, chosen) AS (SELECT 0, (SELECT coalesce(list(doc_id), []) FROM picked) UNION ALL
+ SELECT i + 1, list_append(chosen, list_filter(best.ids, lambda x: NOT list_contains(chosen, x))[1]) FROM turns JOIN best ON best.place = i % {len(SCORED)}, sized WHERE len(chosen) < total),
+queue AS (SELECT unnest(chosen) AS doc_id FROM turns QUALIFY row_number() OVER (ORDER BY i DESC) = 1)"""
+
+
+def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _LABELING
     return L.select_queue(_pre(spark, sf_dir), SCORED, c["sample_total"], c["random_share"], c["sample_seed"])
 
 
-@query(f"WITH {_PRE}, {_LONG}, q AS (SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 300) SELECT label, count(*) FILTER (WHERE score >= 0.3 AND doc_id IN (SELECT doc_id FROM q)) AS in_queue, count(*) FILTER (WHERE score >= 0.3) AS in_all FROM long GROUP BY label")
+@query(f"WITH RECURSIVE {_QUEUE} SELECT doc_id AS image, row_number() OVER (ORDER BY md5('{_LABELING['sample_seed'] + 1}:' || doc_id), doc_id) - 1 AS pos FROM queue")
+def q_label_queue_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _queue(spark, sf_dir).select("image", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"WITH RECURSIVE {_QUEUE} SELECT label, count(*) FILTER (WHERE score >= 0.3 AND doc_id IN (SELECT doc_id FROM queue)) AS in_queue, count(*) FILTER (WHERE score >= 0.3) AS in_all FROM long GROUP BY label")
 def q_queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pre = _pre(spark, sf_dir)
-    queue = L.random_sample(pre.select("image"), "image", 300, 42).withColumn("q", F.lit(True))
-    rows = pre.join(F.broadcast(queue), "image", "left").select(F.explode("scores").alias("label", "score"), F.coalesce("q", F.lit(False)).alias("q")).where("score >= 0.3")
-    return rows.groupBy("label").agg(F.sum(F.col("q").cast("long")).alias("in_queue"), F.count(F.lit(1)).alias("in_all"))
+    """How often each label is suspected in the queue that people get, and in all pages."""
+    queue = _queue(spark, sf_dir).select("image", F.lit(True).alias("q"))  # sample_total rows at most
+    rows = _pre(spark, sf_dir).join(F.broadcast(queue), "image", "left").select(F.explode("scores").alias("label", "score"), F.coalesce("q", F.lit(False)).alias("q"))
+    suspected = F.col("score") >= _LABELING["suggest_threshold"]
+    return rows.groupBy("label").agg(F.sum((suspected & F.col("q")).cast("long")).alias("in_queue"), F.sum(suspected.cast("long")).alias("in_all"))
 
 
 @query("SELECT doc_id, md5('42:' || doc_id) AS ord FROM documents ORDER BY ord, doc_id LIMIT 300")
@@ -422,7 +438,8 @@ def q_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_PRE} SELECT p.doc_id, p.blur AS cv_blur, p.noise AS cv_noise, l.quality = 1 AS human_quality, l.toxic = 1 AS human_toxic FROM pre p JOIN labels l USING (doc_id)")
 def q_cv_ocr_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pre, human = _pre(spark, sf_dir), table(spark, sf_dir, "labels")
+    """Each page once, whatever repeats either log holds."""
+    pre, human = _pre(spark, sf_dir).dropDuplicates(["image"]), table(spark, sf_dir, "labels").dropDuplicates(["doc_id"])
     s = F.col("scores")
     return pre.join(human, pre["image"] == human["doc_id"]).select("doc_id", s["blur"].alias("cv_blur"), s["noise"].alias("cv_noise"), (F.col("quality") == 1).alias("human_quality"), (F.col("toxic") == 1).alias("human_toxic"))
 
@@ -484,10 +501,14 @@ def q_not_applicable_without_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(F.array_sort(F.array_union("skip", F.array(F.lit("unreadable")))), ",").alias("not_applicable"))
 
 
-@query(f"SELECT label FROM (VALUES {', '.join(f'({chr(39)}{x}{chr(39)})' for x in DEFAULTS['labels'])}) t(label) EXCEPT SELECT 'unreadable'")
+@query("SELECT doc_id, array_to_string(list_sort(['quality', 'toxic']), ',') AS manual, CASE WHEN toxic = 1 THEN 3 ELSE 2 END AS n_labels FROM labels")
 def q_manual_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = F.array_except(F.array(*[F.lit(x) for x in DEFAULTS["labels"]]), F.array(*[F.lit(x) for x in DEFAULTS["auto_labels"]]))
-    return spark.range(1).select(F.explode(both).alias("label"))
+    """The labels that a person sets: those of each page's map but for the automatic ones, which toxic pages have too."""
+    given = F.create_map(F.lit("quality"), F.col("quality") == 1, F.lit("toxic"), F.col("toxic") == 1)
+    more = F.when(F.col("toxic") == 1, F.create_map(*[x for k in DEFAULTS["auto_labels"] for x in (F.lit(k), F.lit(True))])).otherwise(F.create_map().cast("map<string,boolean>"))
+    keys = F.map_keys(L.enrich(given, more))
+    manual = F.array_except(keys, F.array(*[F.lit(x) for x in DEFAULTS["auto_labels"]]))
+    return table(spark, sf_dir, "labels").select("doc_id", F.array_join(F.array_sort(manual), ",").alias("manual"), F.size(keys).alias("n_labels"))
 
 
 @query("SELECT 'synthetic' AS kind, doc_id, doc_id + 42 * 1000003 AS seed FROM documents UNION ALL SELECT 'real', doc_id, 0 FROM labels")
