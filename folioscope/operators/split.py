@@ -66,7 +66,7 @@ def allocate(sizes: DataFrame, ratios: dict[str, float], seed: int, document: st
     ranges: dict[int, list[tuple[int, int]]] = {}
     if bits:
         place = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / F.pow(F.lit(2.0), 32 - F.col("bits")))
-        rows = rows.join(F.broadcast(spark.createDataFrame(bits, "n long, bits int")), "n", "left").select("d", "n", "h", F.coalesce(place, F.lit(0)).cast("long").alias("range"))
+        rows = rows.join(spark.createDataFrame(bits, "n long, bits int"), "n", "left").select("d", "n", "h", F.coalesce(place, F.lit(0)).cast("long").alias("range"))
         for r in rows.where(F.col("n").isin([n for n, _ in bits])).groupBy("n", "range").agg(F.count(F.lit(1)).alias("documents")).orderBy("n", "range").collect():
             ranges.setdefault(r["n"], []).append((r["range"], r["documents"]))
     filled, begins = [0 for _ in SPLIT_PARTS], []
@@ -75,7 +75,7 @@ def allocate(sizes: DataFrame, ratios: dict[str, float], seed: int, document: st
             begins.append((n, at, *map(float, filled)))
             filled = advance(filled, target, n, documents)
     begin = spark.createDataFrame(begins, "n long, range long, " + ", ".join(f"{p} double" for p in SPLIT_PARTS))
-    runs_of_rows = rows.groupBy("n", "range").agg(F.array_sort(F.collect_list(F.struct("h", "d"))).alias("rows")).join(F.broadcast(begin), ["n", "range"])
+    runs_of_rows = rows.groupBy("n", "range").agg(F.array_sort(F.collect_list(F.struct("h", "d"))).alias("rows")).join(begin, ["n", "range"])
 
     def step(acc, x):  # noqa: ANN001, ANN202
         short = [F.lit(t) - acc[p] for t, p in zip(target, SPLIT_PARTS, strict=True)]
@@ -98,7 +98,8 @@ def shares(split: DataFrame) -> DataFrame:
 def assemble(split: DataFrame, records: DataFrame, document: str = "document", image: str = "image") -> DataFrame:
     """part, documents, images, n_documents, n_images of every part, lists sorted; a part without documents has empty lists.
 
-    The lists are what a split file holds, so a row is as large as that file.
+    The lists are what a split file holds, so a row is as large as that file; for
+    parts beyond what a task holds there are members() and shards of it.
     """
     own = records.select(document, image).join(split.select(document, "part"), document)
     lists = own.groupBy("part").agg(F.array_sort(F.collect_set(document)).alias("documents"), F.array_sort(F.collect_list(image)).alias("images"))
@@ -108,6 +109,11 @@ def assemble(split: DataFrame, records: DataFrame, document: str = "document", i
     return full.select("*", F.size("documents").alias("n_documents"), F.size("images").alias("n_images"))
 
 
+def members(split: DataFrame, records: DataFrame, document: str = "document", image: str = "image") -> DataFrame:
+    """part, document, image: a row for each page of a document in the split."""
+    return records.select(F.col(document).alias("document"), F.col(image).alias("image")).join(split.select(F.col(document).alias("document"), "part"), "document").select("part", "document", "image")
+
+
 def leaks(assigned: DataFrame, document: str = "document") -> DataFrame:
     """Documents that stand in more than one part, with the number of parts."""
     return assigned.groupBy(document).agg(F.count_distinct("part").alias("parts")).where("parts > 1")

@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..config import SPLIT_PARTS
 from ..operators.labels import last_wins
 
+#: The file that says how much the shards of a split hold.
+COUNTS = "counts.json"
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """value, file, ord: lines with their order (file, then block, then place in the task)."""
@@ -69,8 +73,28 @@ def read_split(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(part.alias("part"), "documents", "images")
 
 
+def read_members(spark: SparkSession, folder: str) -> DataFrame:
+    """part, document, image of a split, from its shards or its three files.
+
+    Shards whose rows aren't as many as their counts say are an error: a split
+    that has lost a file would let its pages leak into training unseen.
+    """
+    if not exists(spark, f"{folder}/{COUNTS}"):
+        lists = read_split(spark, folder)
+        return lists.select("part", F.lit(None).cast("string").alias("document"), F.explode("images").alias("image"))
+    want = {r["part"]: r["n_images"] for r in spark.read.schema("part string, n_documents long, n_images long").json(f"{folder}/{COUNTS}").collect()}
+    rows = spark.read.schema("document string, image string, part string").json(f"{folder}/members") if any(want.values()) else spark.createDataFrame([], "document string, image string, part string")
+    got = {r["part"]: r["n"] for r in rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for part, n in want.items():
+        if got.get(part, 0) != n:
+            raise ValueError(f"{folder}: {part} has {got.get(part, 0)} of {n} pages")
+    return rows.select("part", "document", "image")
+
+
 def read_held_out(spark: SparkSession, folder: str) -> DataFrame:
     """document of val and test. A missing file is an error that names it, as pages would leak into training unseen."""
+    if exists(spark, f"{folder}/{COUNTS}"):
+        return read_members(spark, folder).where(F.col("part").isin("val", "test")).select("document").distinct()
     for part in ("val", "test"):
         if not exists(spark, f"{folder}/{part}.json"):
             raise FileNotFoundError(f"{folder}/{part}.json")
@@ -94,6 +118,25 @@ def write_split(assembled: DataFrame, folder: str) -> None:
         write_text(assembled.sparkSession, f"{folder}/{r['part']}.json", json.dumps({k: v for k, v in r.asDict().items() if k != "part"}, ensure_ascii=False, indent=2))
 
 
+def write_members(members: DataFrame, folder: str, shards: int | None = None) -> None:
+    """A split of any size as shards: JSON lines of document and image, a folder a part, each file a range of documents.
+
+    Spark commits the files as one job. The counts come from an aggregate and are
+    written last, so a folder with counts is whole. Repeated pages are one. Without
+    a number of shards Spark sets it by the bytes.
+    """
+    spark = members.sparkSession
+    rows = members.select("part", F.col("document").cast("string").alias("document"), F.col("image").cast("string").alias("image")).distinct()
+    order = ["part", "document", "image"]
+    if exists(spark, f"{folder}/{COUNTS}"):
+        raise FileExistsError(f"{folder}/{COUNTS}")
+    (rows.repartitionByRange(shards, *order) if shards else rows.repartitionByRange(*order)).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("part").json(f"{folder}/members")
+    written = spark.read.schema("document string, image string, part string").json(f"{folder}/members")
+    counts = {r["part"]: r for r in written.groupBy("part").agg(F.count_distinct("document").alias("n_documents"), F.count(F.lit(1)).alias("n_images")).collect()}
+    lines = [{"part": p, "n_documents": counts[p]["n_documents"] if p in counts else 0, "n_images": counts[p]["n_images"] if p in counts else 0} for p in SPLIT_PARTS]
+    write_text(spark, f"{folder}/{COUNTS}", "".join(json.dumps(x) + "\n" for x in lines))
+
+
 def write_queue(queue: DataFrame, path: str) -> None:
     """A JSON array of the records in order. A queue is what people label by hand, so it is small."""
     records = [json.loads(x) for x in queue.select(F.to_json(F.struct(*queue.columns), {"ignoreNullFields": "false"}).alias("r")).toPandas()["r"]]
