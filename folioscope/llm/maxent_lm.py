@@ -14,9 +14,10 @@ its context times that of the word in its class:
 Counts are exact and cover all training documents: blocks of documents send
 their distinct words with counts to buckets of word names, which answer with
 totals. The weights start from class frequencies and are trained by rounds of
-distributed gradient updates: every task runs AdaGrad over its own documents,
-the tasks' weights are averaged by tokens, and the next round starts there. The
-updates read every training document in every round. Scoring is in sparse batches:
+distributed gradient updates: AdaGrad runs over every block of documents, the
+blocks' weights and squared gradients are averaged by tokens, in a tree, and the
+next round starts there. The updates read every training document in every
+round, and scores don't depend on how the table is split into partitions. Scoring is in sparse batches:
 rows of the weight tables are gathered by index, nothing dense in the vocabulary is
 formed.
 
@@ -33,6 +34,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -281,48 +284,108 @@ def _add_rows(table: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     np.add.at(table.reshape(-1), (rows[:, None] * CLASSES + np.arange(CLASSES)).reshape(-1), values.reshape(-1))
 
 
-PARTS = 16
+#: Sums of weights are sent as integers, whose sums don't depend on their order: 1 / UNIT is a step of a weight.
+#: A weight of at most BOUND times the thousands of tokens of a block takes 39 bits, so 2**24 blocks (128 TB) fit.
+UNIT, BOUND, THOUSAND = 1 << 20, 63.0, 1 << 10
+PARTS = 64  # slices of the weights, each summed by a worker of its own
+FAN = 256  # tasks whose slices one worker sums
+
+
+def descend(rows: pa.Table, counts: Counts, own: np.ndarray, squares: np.ndarray) -> int:
+    """AdaGrad over the texts of a block, in its order; changes the weights and their sums of squared gradients. Returns the tokens."""
+    w, seen = Weights(own), 0
+    into, step = Weights(np.empty(len(own), np.float32)), np.empty(len(own), np.float32)
+    for part in slices(rows.combine_chunks().to_batches()):
+        t = tokens(*text_buffer(part.column("text")), unique=False)
+        c = Contexts(t, counts.classes(t))
+        for a in range(0, len(c.cls), CHUNK):
+            g = c.gradient(w, a, min(a + CHUNK, len(c.cls)), into)
+            squares += np.multiply(g, g, out=step)
+            np.sqrt(squares, out=step)
+            own += np.divide(np.multiply(g, np.float32(RATE), out=g), step, out=step)
+        seen += len(c.cls)
+    return seen
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, from rows sorted by block."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and held[-1].column("block")[0].as_py() != block[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+SUMS = "part int, branch int, n long, sums binary"
+
+
+def _sums(part: int, branch: int, n: int, sums: np.ndarray) -> list:
+    return [part, branch, n, sums.tobytes()]
+
+
+def _table(rows: list[list]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["part", "branch", "n", "sums"])
+
+
+def _add(rows: pa.Table) -> pa.Table:
+    whole: np.ndarray | int = 0
+    for x in rows.column("sums"):
+        whole = whole + np.frombuffer(x.as_buffer(), np.int64)
+    return _table([_sums(rows.column("part")[0].as_py(), rows.column("branch")[0].as_py(), pc.sum(rows.column("n")).as_py(), whole)])
 
 
 def train(docs: DataFrame, counts: Counts, rounds: int = ROUNDS, share: float = 1.0) -> np.ndarray:
     """The weights, flat."""
-    spark = docs.sparkSession
+    return train_blocks(blocks.sized(docs, BLOCK_BYTES)[0], counts, rounds, share)
+
+
+def train_blocks(rows: DataFrame, counts: Counts, rounds: int = ROUNDS, share: float = 1.0) -> np.ndarray:
+    """The weights, flat, from the rows of blocks.sized.
+
+    A round works on every block by itself, from the same weights and squares; the
+    next one starts from the means over blocks, by tokens. Blocks and the order in
+    them depend on the rows alone, and means are of integers, so the weights
+    don't depend on how the table is split or which tasks ran again.
+    """
+    spark = rows.sparkSession
     flat = np.zeros(Weights.size(), np.float32)
     flat[:CLASSES] = np.log((counts.class_tokens + 0.5) / (counts.class_tokens.sum() + 0.5 * CLASSES))
     if not counts.total:
         return flat
-    rows = ids_and_texts(docs).where(F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1))
+    rows = rows.where(F.col("doc_id").isNotNull() & (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 1))
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    size = -(-len(flat) // PARTS)
+    rows = rows.repartition("block").sortWithinPartitions("block", "doc_id", "text")
+    size = -(-2 * len(flat) // PARTS)
+    roots = np.full(len(flat), 1e-3, np.float32)
     for _ in range(rounds):
-        sent = spark.sparkContext.broadcast(flat)  # a fixed size
+        sent = spark.sparkContext.broadcast((flat, roots))  # a fixed size
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            own = sent.value.copy()
-            w, squares, seen = Weights(own), np.full(len(own), 1e-6, np.float32), 0
-            into, step = Weights(np.zeros(len(own), np.float32)), np.zeros(len(own), np.float32)
-            for part in slices(batches):
-                t = tokens(*text_buffer(part.column("text")), unique=False)
-                c = Contexts(t, counts.classes(t))
-                for a in range(0, len(c.cls), CHUNK):
-                    g = c.gradient(w, a, min(a + CHUNK, len(c.cls)), into)
-                    squares += np.multiply(g, g, out=step)
-                    np.sqrt(squares, out=step)
-                    own += np.divide(np.multiply(g, np.float32(RATE), out=g), step, out=step)
-                seen += len(c.cls)
-            if seen:
-                cut = [own[i : i + size].tobytes() for i in range(0, len(own), size)]
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([seen] * len(cut), pa.int64()), pa.array(cut, pa.binary())], ["part", "n", "weights"])
-
-        def mean(rows: pa.Table) -> pa.Table:
-            n = rows.column("n").to_pylist()
-            whole = sum(np.frombuffer(x, np.float32).astype(np.float64) * k for x, k in zip(rows.column("weights").to_pylist(), n, strict=True)) / sum(n)
-            return pa.table([pa.array([rows.column("part")[0].as_py()], pa.int32()), pa.array([whole.astype(np.float32).tobytes()], pa.binary())], ["part", "weights"])
-
-        got = rows.mapInArrow(tidy(learn), "part int, n long, weights binary").groupBy("part").applyInArrow(mean, "part int, weights binary").toArrow().sort_by("part")
+            first, start = sent.value
+            sums, n = np.zeros(2 * len(first), np.int64), 0
+            for block in _by_block(batches):
+                own, squares = first.copy(), start * start
+                seen = -(-descend(block, counts, own, squares) // THOUSAND)
+                n += seen
+                sums += np.rint(np.clip(np.concatenate([own, np.sqrt(squares)]), -BOUND, BOUND).astype(np.float64) * UNIT).astype(np.int64) * seen
+            if n:
+                branch = TaskContext.get().partitionId() // FAN
+                yield from _table([_sums(i, branch, n, sums[i * size : (i + 1) * size]) for i in range(PARTS)]).to_batches()
+
+        got = rows.mapInArrow(tidy(learn), SUMS).groupBy("part", "branch").applyInArrow(_add, SUMS).groupBy("part").applyInArrow(_add, SUMS).toArrow().sort_by("part")
         if got.num_rows:
-            flat = np.concatenate([np.frombuffer(x, np.float32) for x in got.column("weights").to_pylist()])
+            mean = np.concatenate([np.frombuffer(x, np.int64) for x in got.column("sums").to_pylist()]) / (got.column("n")[0].as_py() * float(UNIT))
+            flat, roots = mean[: len(flat)].astype(np.float32), np.maximum(mean[len(flat) :], 1e-3).astype(np.float32)
         sent.unpersist()
     return flat
 
@@ -331,7 +394,7 @@ def score_documents(docs: DataFrame, share: float = 1.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     rows, total_bytes = blocks.sized(docs, BLOCK_BYTES)
     told, counts, buckets = count_words(rows, total_bytes)
-    flat = train(docs, counts, share=share)
+    flat = train_blocks(rows, counts, share=share)
     sent = docs.sparkSession.sparkContext.broadcast((flat, counts))  # a fixed size
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 

@@ -265,6 +265,56 @@ def test_maxent_gradient_by_loops():
     assert np.allclose(c.gradient(w, a, b), want.flat, atol=1e-6)
 
 
+def test_maxent_score_by_loops_and_any_partitions(spark, monkeypatch):
+    """score is the sum over tokens of the class's and the word's log10 probability, by loops; the split of the table changes no bit."""
+    monkeypatch.setattr(blocks, "BUCKET_NAMES", 200)
+    monkeypatch.setattr(maxent_lm, "BLOCK_BYTES", 6000)
+    monkeypatch.setattr(maxent_lm, "CHUNK", 300)
+    monkeypatch.setattr(maxent_lm, "FAN", 2)
+    rows = odd_rows(6)
+    docs = make(spark, rows)
+    runs = [sorted((str(r.doc_id), r.n_tokens, r.score) for r in maxent_lm.score_documents(docs.repartition(k)).collect()) for k in (1, 7)]
+    assert runs[0] == runs[1]
+
+    toks = [re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None] for _, t in rows]
+    fold = [i is not None and zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in rows]
+    c = collections.Counter(x for v, learnt in zip(toks, fold) if learnt for x in v)
+    sized, size = blocks.sized(docs, 6000)
+    _, counts, _ = maxent_lm.count_words(sized, size)
+    w = maxent_lm.Weights(maxent_lm.train(docs, counts).astype(np.float64))
+    words_ = [x for x in c if x is not None]
+    names = dict(zip(words_, (blocks.word_names(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([len(x.encode())]))[0] for x in words_)))
+
+    def cls(x):
+        if x is None:
+            return 0
+        if x in names and names[x] in counts.single:
+            return 1 + counts.single.tolist().index(names[x])
+        b = x.encode()
+        return 1 + maxent_lm.SINGLE + ((((b[-2] if len(b) > 1 else 0) * 257 + b[-1]) * 2654435761 & 0xFFFFFFFF) >> 16) % maxent_lm.SUFFIXES
+
+    common = sorted(words_, key=lambda x: -c[x])
+    assert {x for x in common if names[x] in counts.single} >= {x for x in common if c[x] > c[common[maxent_lm.SINGLE]]}
+    held, kinds = collections.Counter(), collections.Counter()
+    for x, n in c.items():
+        held[cls(x)] += n
+        kinds[cls(x)] += 1
+    assert [held[k] for k in range(maxent_lm.CLASSES)] == counts.class_tokens.tolist()
+    want = []
+    for (i, _), v in zip(rows, toks):
+        total, k = 0.0, [cls(x) for x in v]
+        for j, x in enumerate(v):
+            one, two = k[j - 1] if j else maxent_lm.START, k[j - 2] if j > 1 else maxent_lm.START
+            at = 0 if not j else int(blocks.mix(blocks.word_names(np.frombuffer(v[j - 1].encode(), np.uint8), np.array([0]), np.array([len(v[j - 1].encode())])))[0]) >> 52
+            near = k[max(0, j - maxent_lm.WINDOW) : j]
+            z = w.tables["bias"][0] + w.tables["word"][at] + w.tables["pair"][one * (maxent_lm.CLASSES + 1) + two] + w.tables["skip"][two] + sum((w.tables["window"][q] for q in near), np.zeros(maxent_lm.CLASSES)) / max(1, len(near))
+            total += z[k[j]] / np.log(10) - np.log10(np.exp(z).sum())
+            if k[j] > maxent_lm.SINGLE:
+                total += np.log10((c[x] + 0.5) / (held[k[j]] + 0.5 * (kinds[k[j]] + 1)))
+        want.append((str(i), len(v), total))
+    assert all(a[:2] == b[:2] and a[2] == pytest.approx(b[2], rel=1e-4, abs=1e-4) for a, b in zip(runs[0], sorted(want)))
+
+
 # 4
 
 
