@@ -16,6 +16,7 @@ from pyspark.sql.window import Window
 from ..config import DEFAULTS, SPLIT_PARTS, manual_labels
 from ..functions import scoring as S
 from ..functions import text as X
+from ..operators import baseline as B
 from ..operators import evaluation as E
 from ..operators import labels as L
 from ..operators import patches as T
@@ -24,6 +25,7 @@ from ..operators import pixels as P
 from ..operators import split as D
 from ..operators import synth as Y
 from ..operators.ordered import quantiles
+from ..storage import written
 
 OCR, SYNTH, VERDICT = DEFAULTS["ocr"], DEFAULTS["synth"], DEFAULTS["verdict"]
 SCORED = list(DEFAULTS["scores"])
@@ -418,6 +420,19 @@ def q_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(F.round("macro_f1", 9).alias("macro_f1"), F.round("macro_average_precision", 9).alias("macro_average_precision"), "n_labels")
 
 
+@query()
+def q_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A logistic baseline on text measures, learnt on the train part and measured on val; sources are the documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.ln(F.coalesce(F.length("text"), F.lit(0)) + 1).alias("log_chars"), F.coalesce(F.size(F.array_distinct(F.split("text", " "))) / F.size(F.split("text", " ")), F.lit(0.0)).alias("distinct_share"))
+    truth = table(spark, sf_dir, "labels").select("doc_id", *[(F.col(x) == 1).alias(x) for x in ("quality", "toxic")])
+    rows = truth.join(d, "doc_id").join(_ratios(spark, sf_dir), "doc_id").join(_split(spark, sf_dir).select(F.col("document").alias("source"), "part"), "source")
+    measures = ["garbage_ratio", "nonword_ratio", "log_chars", "distinct_share"]
+    rows = written(rows.where("part IN ('train', 'val')").select("source", "part", "quality", "toxic", *measures), "baseline")
+    scores = B.held_out_scores(rows.where("part = 'train'"), rows.where("part = 'val'"), "source", measures, ["quality", "toxic"])
+    m = E.precision_recall(scores).join(E.average_precision(scores), "label")
+    return m.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "average_precision")], "support")
+
+
 @query(f"WITH {_TRUTH}, w AS (SELECT label, count(*) FILTER (WHERE truth) AS p, count(*) AS n FROM truth GROUP BY label) SELECT label, round(CASE WHEN p = 0 THEN 1 ELSE (n - p)::DOUBLE / p END, 9) AS pos_weight, round(least(50, CASE WHEN p = 0 THEN 1 ELSE (n - p)::DOUBLE / p END), 9) AS capped FROM w")
 def q_pos_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.pos_weight(_truth(spark, sf_dir), DEFAULTS["train"]["pos_weight_max"]).select("label", F.round("pos_weight", 9).alias("pos_weight"), F.round("capped", 9).alias("capped"))

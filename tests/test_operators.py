@@ -196,11 +196,25 @@ def test_enrich_and_resume(spark):
 
 
 def test_label_stream(spark, tmp_path):
+    """Late, repeated and tied lines, a null key; a batch writes what it changes and no more; a version run again and a compaction change nothing."""
     from folioscope.streaming import label_log
 
-    schema = "image string, ord int, v int"
+    schema, table = "image string, ord int, v int", f"file://{tmp_path}/t"
     log = lambda: spark.readStream.schema(schema).json(str(tmp_path / "in"))
-    for rows in ([("a", 1, 10), ("b", 2, 20)], [("a", 3, 30)], [("b", 1, 99)]):
-        spark.createDataFrame(rows, schema).write.mode("append").json(str(tmp_path / "in"))
-        label_log.upsert_stream(log(), "image", "ord", f"file://{tmp_path}/t", str(tmp_path / "cp")).awaitTermination(60)
-    assert {r["image"]: r["v"] for r in label_log.current(spark, f"file://{tmp_path}/t").collect()} == {"a": 30, "b": 20}
+    now = lambda: {r["image"]: r["v"] for r in label_log.current(spark, table, "image", "ord").collect()}
+    assert label_log.current(spark, table, "image", "ord") is None
+    batches = [[("a", 1, 10), ("b", 2, 20)] + [(f"i{i}", 1, i) for i in range(50)], [("a", 3, 30), ("a", 3, 30)], [("b", 1, 99), (None, 1, 7)], [("a", 3, 31), ("b", None, 5)]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        label_log.upsert_stream(log(), "image", "ord", table, str(tmp_path / "cp")).awaitTermination(60)
+        if k == 1:
+            assert {r["image"]: r["v"] for r in spark.read.parquet(f"{table}/v=1").collect()} == {"a": 30}
+            label_log.compact(spark, table, "image", "ord")
+            assert now()["a"] == 30 and len(now()) == 52
+    want = {"a": 31, "b": 20, None: 7} | {f"i{i}": i for i in range(50)}
+    assert now() == want
+    spark.read.parquet(f"{table}/v=3").write.parquet(f"{table}/v=4")
+    assert now() == want
+    label_log.compact(spark, table, "image", "ord")
+    label_log.compact(spark, table, "image", "ord")
+    assert now() == want == {r["image"]: r["v"] for r in spark.read.parquet(f"{table}/c=4").collect()}
