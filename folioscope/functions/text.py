@@ -19,9 +19,10 @@ def _class(chars: str) -> str:
 
 def garbage_counts(text: Column, languages: list[str], extra: str) -> tuple[Column, Column]:
     """Signs outside the languages' letters and extra, and all signs but white space."""
-    solid = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
+    solid = F.coalesce(text, F.lit(""))
     letters = "".join(SCRIPTS.get(x, "") for x in languages) or r"\p{L}"
-    return F.length(F.regexp_replace(solid, f"[{letters}{_class(''.join(extra.split()))}]", "")), F.length(solid)
+    # Taken out in runs: one match for each sign costs many times as much.
+    return F.length(F.regexp_replace(solid, f"[\\s{letters}{_class(''.join(extra.split()))}]+", "")), F.length(F.regexp_replace(solid, r"\s+", ""))
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -49,14 +50,23 @@ def implausible(token: Column, languages: list[str]) -> Column:
     return F.when(sung & ~digit, F.when(n == 0, F.length(token) > 2).otherwise(False) if not vowels else F.lit(False)).when(token.rlike(r"^\p{Nd}+$"), False).when(n == 0, F.length(token) > 2).when(~sung & mute, True).otherwise((n >= 2) & digit)
 
 
+def doubtful(text: Column, languages: list[str]) -> Column:
+    """The text without its words that have a vowel and no digit, which are plausible: one pass in place of looks at each word."""
+    solid, vowels = F.coalesce(text, F.lit("")), "".join(VOWELS.get(x, "") for x in languages)
+    if not vowels:
+        return solid
+    vowels += vowels.upper()
+    return F.regexp_replace(solid, rf"(?<!\S)[^\s\p{{Nd}}{vowels}]*+[{vowels}][^\s\p{{Nd}}]*+(?!\S)", "")
+
+
 def nonword_counts(text: Column, languages: list[str]) -> tuple[Column, Column]:
-    tokens = bare_words(text)
-    return F.size(F.filter(tokens, lambda t: implausible(t, languages))), F.size(tokens)
+    """Words that can't be any, and all words: tokens with a sign besides those that are stripped."""
+    odd = F.filter(bare_words(doubtful(text, languages)), lambda t: implausible(t, languages))
+    return F.size(odd), F.regexp_count(F.coalesce(text, F.lit("")), F.lit(rf"[^\s{_class(STRIPPED)}]\S*+"))
 
 
 def nonword_ratio(text: Column, languages: list[str]) -> Column:
-    # The words are an array of one list, so that they are cut once for both counts.
-    return F.transform(F.array(bare_words(text)), lambda ts: ratio(F.size(F.filter(ts, lambda t: implausible(t, languages))), F.size(ts)))[0]
+    return ratio(*nonword_counts(text, languages))
 
 
 def unreadable(n_boxes: Column, signals: dict[str, Column], anchors: dict[str, dict[str, float]], least: int = 5) -> Column:

@@ -79,8 +79,11 @@ def _anchor_sql(v: str, good: float, bad: float) -> str:
     return f"least(1::DOUBLE, greatest(0::DOUBLE, ({v} - {good}::DOUBLE) / {bad - good!r}::DOUBLE))"
 
 
-def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+def _ratios(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Ratios of all documents, or of those whose doc_id is in only."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    d = d if only is None else d.join(only, "doc_id", "left_semi")
+    d = d.repartition(2 * spark.sparkContext.defaultParallelism)  # a file of a few row groups would keep as few tasks busy
     return d.select("doc_id", "lang", X.garbage_ratio(F.col("text"), OCR["languages"], OCR["extra_chars"]).alias("garbage_ratio"), X.nonword_ratio(F.col("text"), OCR["languages"]).alias("nonword_ratio"))
 
 
@@ -445,7 +448,9 @@ _SIGNALS = f"""{_TEXT}, {_PRE}, both_sides AS (SELECT m.metric, m.x, 1 - r.garba
 @query(f"""WITH {_SIGNALS}, r AS (SELECT metric, x, y, rank() OVER (PARTITION BY metric ORDER BY x) + (count(*) OVER (PARTITION BY metric, x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (PARTITION BY metric ORDER BY y) + (count(*) OVER (PARTITION BY metric, y) - 1) / 2.0::DOUBLE AS ry FROM both_sides)
 SELECT metric, count(*) AS n, CASE WHEN count(*) >= 3 AND count(DISTINCT x) > 1 AND count(DISTINCT y) > 1 THEN round(corr(rx, ry), 9) END AS rho, CASE WHEN metric = 'quality_score' THEN 1 ELSE -1 END AS expected FROM r GROUP BY metric""")
 def q_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _ratios(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").join(_pre(spark, sf_dir).select(F.col("image").alias("doc_id"), "scores"), "doc_id")
+    labelled = table(spark, sf_dir, "labels").select("doc_id")
+    # Written, as conditions on a ratio would measure the text again, before it is dealt to tasks.
+    r = written(_ratios(spark, sf_dir, labelled).drop("lang"), "ratios").join(labelled, "doc_id").join(_pre(spark, sf_dir).select(F.col("image").alias("doc_id"), "scores"), "doc_id")
     sides = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("x")) for k, v in (("blur", F.col("scores")["blur"]), ("noise", F.col("scores")["noise"]), ("quality_score", 1 - F.col("nonword_ratio")))])
     rows = r.select(F.explode(sides).alias("s"), (1 - F.col("garbage_ratio")).alias("y")).select("s.metric", "s.x", "y")
     return E.spearman(rows).select("metric", "n", F.round("rho", 9).alias("rho"), E.expected_sign(F.col("metric"), F.lit("mean_confidence")).alias("expected"))
