@@ -26,10 +26,13 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import unicodedata
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, pairwise
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +43,18 @@ from pyspark.sql.window import Window
 from .bpe import KEPT_LENGTH
 from .common import ids_and_texts, scratch, slices, tidy
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 MAGIC = 0x31525046
 BLOCK = 4096
 KEEP = (90, 95, 99, 100)  # percentiles of differences that the packed width may hold
 SHARD_IDS = 2_000_000
 PARTITION_BYTES = 256 << 20
-#: Units and words kept in each of the two generations of the encoder's tables.
+#: Units and words kept in each of the two generations of the encoder's table.
 KEPT_UNITS = KEPT_WORDS = 500_000
+#: Words that the library encodes as one text.
+JOINED = 512
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
@@ -165,30 +173,20 @@ def decode_shard(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, out
 
 
-class _Known(dict):
-    """Unit -> ids as bytes. Looking up one that isn't there notes it and gives nothing."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.missed: list[str] = []
-
-    def __missing__(self, unit: str) -> None:
-        self.missed.append(unit)
-        self[unit] = None
-
-
 class LibraryEncoder:
     """Ids from the tokenizers library, for vocabularies that drop white space and split letters from other signs.
 
-    Texts are cut at spaces and line ends into units. A unit of letters and
-    closing punctuation is cut again between the two, so that a word is encoded
-    once, whatever follows it; the library encodes what isn't in the tables (of
-    bounded size) yet. A text that may hold the string of an added token, which
-    the library gives that token's id, goes to the library whole.
+    Texts are cut at spaces and line ends into units, and each different one of
+    a call is looked up once. A unit of letters and closing punctuation is cut
+    again between the two, so that a word is encoded once, whatever follows it;
+    the library encodes what isn't in the tables (of bounded size) yet, words
+    many at a time as one text where their ends show in the ids. A text that may
+    hold the string of an added token, which the library gives that token's id,
+    goes to the library whole.
     """
 
     #: Signs after a word that the pattern always splits from letters; no apostrophe, which may begin a contraction.
-    CLOSING = ".,;:!?"
+    CLOSING = string.punctuation.replace("'", "")
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -200,13 +198,16 @@ class LibraryEncoder:
         self.added = sorted({x["content"].strip().lower() for x in lean.get("added_tokens") or []})
         # For words that are normal already: the same model without the normaliser and the splitting pattern, which would change nothing.
         steps = (lean.get("pre_tokenizer") or {}).get("pretokenizers") or []
-        self.word_tokenizer = self.tokenizer
+        self.word_tokenizer, self.ends = self.tokenizer, None
         if [x["type"] for x in (lean.get("normalizer") or {}).get("normalizers") or []] == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in steps] == ["Split", "ByteLevel"]:
-            lean |= {"normalizer": None, "pre_tokenizer": steps[1]}
+            lean |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, steps[1]]}}
             self.word_tokenizer = Tokenizer.from_str(json.dumps(lean))
-        self.units, self.old_units = _Known(), {}
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
+            if suffix := lean["model"].get("end_of_word_suffix"):
+                vocab = self.tokenizer.get_vocab()
+                self.ends = np.zeros(max(vocab.values()) + 1, bool)
+                self.ends[[i for x, i in vocab.items() if x.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _has_added(self, text: str) -> bool:
         low = text.lower()
@@ -216,62 +217,74 @@ class LibraryEncoder:
         """The unit as a word and its closing signs; whether the word is letters in their normal form."""
         word = unit.rstrip(self.CLOSING)
         if word.isalpha():
-            normal = word.lower() if word.isascii() else "".join(x.lower() for x in unicodedata.normalize("NFC", word))
+            normal = word if word.isascii() else unicodedata.normalize("NFC", word)
+            # The library lowers letter by letter, also a sigma at the end of a word.
+            normal = "".join(x.lower() for x in normal) if "\u03a3" in normal else normal.lower()
             if normal.isalpha():
                 return normal, unit[len(word) :], True
         return unit, "", False
 
-    def _learn(self, units: list[str]) -> None:
-        """Puts the ids of units into the table."""
-        words, fresh = self.words, ([], [])
-        cut = {}
-        for unit in units:
-            if (ids := self.old_units.get(unit)) is not None:
-                self.units[unit] = ids
+    def _each(self, own: list[str], tokenizer: Tokenizer) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for i in range(0, len(own), 4096) for e in tokenizer.encode_batch_fast(own[i : i + 4096], add_special_tokens=False)]
+
+    def _joined(self, own: list[str]) -> list[bytes]:
+        """Ids of words, JOINED of them encoded as one text and told apart by the last token of each."""
+        if self.ends is None:
+            return self._each(own, self.word_tokenizer)
+        out: list[bytes] = []
+        for i in range(0, len(own), JOINED):
+            part = own[i : i + JOINED]
+            ids = np.array(self.word_tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            raw, at = ids.tobytes(), [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+            out += [raw[a:b] for a, b in pairwise(at)] if len(at) == len(part) + 1 and at[-1] == len(raw) else self._each(part, self.word_tokenizer)
+        return out
+
+    def _learn(self, units: list[str]) -> dict[str, bytes | None]:
+        """The ids of units that aren't in the table, and of the words and signs that they consist of."""
+        known, old = self.known, self.old
+        got: dict[str, bytes | None] = dict(zip(units, map(old.get, units), strict=True))
+        got[""] = b""
+        plain: list[str] = []
+        other: list[str] = []
+        cut, words, tails = [], [], []
+        for unit in [x for x, ids in got.items() if ids is None]:
+            if unit.islower() and unit.isascii() and unit.isalpha():
+                plain.append(unit)
+                continue
+            word, tail, normal = self._parts(unit)
+            if word == unit:
+                (plain if normal else other).append(unit)
                 continue
-            cut[unit] = word, tail, normal = self._parts(unit)
-            for x, kind in ((word, normal), (tail, False)):
-                if x not in words:
-                    ids = self.old_words.get(x)
-                    if ids is None:
-                        fresh[kind].append(x)
-                        ids = b""
-                    words[x] = ids
-        for own, tokenizer in zip(fresh, (self.tokenizer, self.word_tokenizer), strict=True):
-            for i in range(0, len(own), 4096):
-                part = own[i : i + 4096]
-                for x, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    words[x] = array("I", e.ids).tobytes()
-        for unit, (word, tail, _) in cut.items():
-            self.units[unit] = words[word] + words[tail] if tail else words[word]
+            cut.append(unit)
+            words.append(word)
+            tails.append(tail)
+            for x, kind in ((word, plain if normal else other), (tail, other)):
+                if x not in got:
+                    got[x] = known.get(x, old.get(x))
+                    if got[x] is None:
+                        kind.append(x)
+        got.update(zip(plain, self._joined(plain), strict=True))
+        got.update(zip(other, self._each(other, self.tokenizer), strict=True))
+        got.update(zip(cut, [got[word] + got[tail] for word, tail in zip(words, tails, strict=True)], strict=True))
+        known.update(got)
+        for x in [x for x in got if len(x) > KEPT_LENGTH]:
+            del known[x]
+        return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.units) > KEPT_UNITS:
-            self.old_units, self.units = dict(self.units), _Known()
-        if len(self.words) > KEPT_WORDS:
-            self.old_words, self.words = self.words, {}
-        known = self.units
-        odd = [i for i, x in enumerate(texts) if self._has_added(x)]
-        whole = {i: array("I", self.tokenizer.encode(texts[i], add_special_tokens=False).ids).tobytes() for i in odd}
+        if len(self.known) > KEPT_UNITS + KEPT_WORDS:
+            self.old, self.known = self.known, {}
+        whole = {i: array("I", self.tokenizer.encode(x, add_special_tokens=False).ids).tobytes() for i, x in enumerate(texts) if self._has_added(x)}
         cut = [[] if i in whole else x.replace("\n", " ").split(" ") for i, x in enumerate(texts)]
-        get = known.__getitem__
-        found = [list(map(get, x)) for x in cut]
-        missed, known.missed = known.missed, []
-        if missed:
-            self._learn(missed)
-            for units, ids in zip(cut, found, strict=True):
-                at = -1
-                for _ in range(ids.count(None)):
-                    at = ids.index(None, at + 1)
-                    ids[at] = known[units[at]]
-        out = list(map(b"".join, found))
+        own = dict.fromkeys(chain.from_iterable(cut))
+        found = dict(zip(own, map(self.known.get, own), strict=True))
+        if missed := [x for x, ids in found.items() if ids is None]:
+            found.update(self._learn(missed))
+        get = found.__getitem__
+        out = [b"".join(map(get, x)) for x in cut]
         for i, ids in whole.items():
             out[i] = ids
-        for unit in missed:
-            if len(unit) > KEPT_LENGTH:
-                known.pop(unit, None)
-                self.words.pop(self._parts(unit)[0], None)
         return out
 
 

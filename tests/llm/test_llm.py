@@ -692,6 +692,25 @@ def test_word_encoder_equals_the_library(monkeypatch):
     assert got == [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
 
 
+def test_word_encoder_calls_the_library_for_many_words():
+    """Words alone and with any closing signs, joined in one call of the library; words were encoded one by one before."""
+    rng = random.Random(4)
+    made = ["".join(rng.choice("aeionstrdéñüßÀÎçİΣς") for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+    signs = [*"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "###", ".,*", "'s", "'re", ">\u0338", "</w>", "...\"", "_1", "</W>,"]
+    texts = [" ".join(w.capitalize() * (rng.random() < 0.2) or w + rng.choice(signs) * (rng.random() < 0.4) for w in rng.choices(made, k=40)) for _ in range(150)]
+    own, calls = token_files.LibraryEncoder(WORD), []
+    lib = own.word_tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, given, **how):
+            calls.extend(given)
+            return lib.encode_batch_fast(given, **how)
+
+    own.word_tokenizer = Counted()
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(texts)] == [e.ids for e in library().encode_batch(texts, add_special_tokens=False)]
+    assert 0 < len(calls) < 20
+
+
 def test_shards_round_trip():
     rng = np.random.default_rng(0)
     for n in (0, 1, 63, 64, 65, token_files.BLOCK - 1, token_files.BLOCK, token_files.BLOCK + 1, 3 * token_files.BLOCK + 7):
